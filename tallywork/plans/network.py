@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,11 +81,18 @@ def credential_stuffing(
 ) -> DataFrame:
     """Accounts with many attempts from many sources within one sliding window.
 
-    Attempts are first counted per source, which settles both counts without a distinct aggregate
-    and leaves a busy account as one row per window and source.
+    Attempts are first counted per source and step of the window, so that each such count, not each
+    attempt, is repeated for the windows it lies in, and a busy account is one row per step and
+    source. Counting rows per source settles the distinct sources too. ``width`` must be a multiple
+    of ``slide``.
     """
-    per_source = log.groupBy(F.window(ts, width, slide).alias("w"), account, source).agg(
+    if pd.Timedelta(width) % pd.Timedelta(slide) != pd.Timedelta(0):
+        raise ValueError(f"window width {width} is no multiple of its step {slide}")
+    per_step = log.groupBy(F.window(ts, slide).alias("step"), account, source).agg(
         F.count(F.lit(1)).alias("n"))
+    per_source = per_step.groupBy(
+        F.window(F.col("step.start"), width, slide).alias("w"), account, source
+    ).agg(F.sum("n").alias("n"))
     counts = per_source.groupBy("w", account).agg(
         F.sum("n").alias("attempts"), F.count(source).alias("sources"))
     suspects = counts.filter((F.col("attempts") >= min_attempts) & (F.col("sources") >= min_sources))
