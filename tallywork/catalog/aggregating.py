@@ -135,11 +135,10 @@ def _(t: Tables):
 
 
 @query("pivot_means", "A21", f"""
-    WITH picked AS (SELECT p_brand, p_type, p_retailprice FROM part WHERE p_size > 45)
     SELECT p_brand, {", ".join(f"round(avg(CASE WHEN p_type = '{k}' THEN p_retailprice END), 4) AS {k}" for k in TYPES)}
-    FROM picked GROUP BY ALL""")
+    FROM part GROUP BY ALL""")
 def _(t: Tables):
-    return rounded(A.pivot_mean(t.part.filter("p_size > 45"), "p_brand", "p_type", "p_retailprice", TYPES), 4)
+    return rounded(A.pivot_mean(t.part, "p_brand", "p_type", "p_retailprice", TYPES), 4)
 
 
 @query("distinct_values", "A28", "SELECT DISTINCT c_mktsegment FROM customer")

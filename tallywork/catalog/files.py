@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallywork.catalog.registry import Tables, longs, query, rounded
+from tallywork.catalog.registry import Tables, longs, query
 from tallywork.operators.numbering import renumber
 from tallywork.session import scratch_path
 from tallywork.sources import tables as S
@@ -119,8 +119,8 @@ def _(t: Tables):
 
 
 @query("price_series", "S8 O1", """
-    WITH prices AS (SELECT o_orderdate::DATE AS date, round(avg(o_totalprice), 6) AS close FROM orders GROUP BY ALL)
+    WITH prices AS (SELECT o_orderdate::DATE AS date, max(o_totalprice) AS close FROM orders GROUP BY ALL)
     SELECT *, row_number() OVER (ORDER BY date) AS position FROM prices""")
 def _(t: Tables):
-    daily = t.orders.groupBy("o_orderdate").agg(F.avg("o_totalprice").alias("Close"))
-    return rounded(renumber(S.price_series(daily, "o_orderdate", "Close"), ["date"], "position"), 6)
+    daily = t.orders.groupBy("o_orderdate").agg(F.max("o_totalprice").alias("Close"))
+    return renumber(S.price_series(daily, "o_orderdate", "Close"), ["date"], "position")

@@ -73,13 +73,13 @@ def _(t: Tables):
 
 
 @query("complete_categories", "J4", """
-    WITH means AS (SELECT p_brand, p_type, avg(p_retailprice) AS price FROM part WHERE p_size > 45 GROUP BY ALL),
+    WITH means AS (SELECT p_brand, p_type, avg(p_retailprice) AS price FROM part GROUP BY ALL),
          levels AS (SELECT unnest(['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD', 'LUXURY']) AS p_type)
     SELECT p_brand, p_type, round(price, 4) AS price
     FROM (SELECT DISTINCT p_brand FROM means) CROSS JOIN levels LEFT JOIN means USING (p_brand, p_type)""")
 def _(t: Tables):
     levels = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD", "LUXURY"]
-    means = group_mean(t.part.filter(F.col("p_size") > 45), ["p_brand", "p_type"], "p_retailprice", "price")
+    means = group_mean(t.part, ["p_brand", "p_type"], "p_retailprice", "price")
     return rounded(complete_categories(means, ["p_brand"], "p_type", levels), 4)
 
 
@@ -116,11 +116,11 @@ def _(t: Tables):
 
 @query("weekday_means_completed", "J4 O2 A2", """
     WITH levels AS (SELECT unnest(['Sunday', 'Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday']) AS weekday),
-         means AS (SELECT event_type, dayname(ts) AS weekday, avg(value) AS value FROM events
-                   WHERE day(ts) BETWEEN 3 AND 7 GROUP BY ALL)
-    SELECT event_type, weekday, round(value, 4) AS value
-    FROM (SELECT DISTINCT event_type FROM means) CROSS JOIN levels LEFT JOIN means USING (event_type, weekday)""")
+         means AS (SELECT user_id, event_type, dayname(ts) AS weekday, avg(value) AS value FROM events GROUP BY ALL)
+    SELECT user_id, event_type, weekday, round(value, 4) AS value
+    FROM (SELECT DISTINCT user_id, event_type FROM means) CROSS JOIN levels
+    LEFT JOIN means USING (user_id, event_type, weekday)""")
 def _(t: Tables):
-    few_days = t.events.filter(F.dayofmonth("ts").between(3, 7))
-    means = group_mean(few_days.withColumn("weekday", day_name(F.col("ts"))), ["event_type", "weekday"], "value")
-    return rounded(complete_categories(means, ["event_type"], "weekday", WEEKDAYS_FROM_SUNDAY), 4)
+    keys = ["user_id", "event_type"]
+    means = group_mean(t.events.withColumn("weekday", day_name(F.col("ts"))), [*keys, "weekday"], "value")
+    return rounded(complete_categories(means, keys, "weekday", WEEKDAYS_FROM_SUNDAY), 4)

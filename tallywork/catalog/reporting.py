@@ -10,6 +10,7 @@ from tallywork import schemas
 from tallywork.catalog.inputs import CARS, CLEAN_RIDES, LAUNCHES, cars, launches, rides
 from tallywork.catalog.registry import Tables, longs, query, rounded
 from tallywork.operators.columns import clean_column_names
+from tallywork.operators.sets import union_all
 from tallywork.plans import cars as car_plans
 from tallywork.plans import fitness, launches as launch_plans
 from tallywork.plans import rides as ride_plans
@@ -60,9 +61,9 @@ def _report(prefix: str, covers: str, sqls: dict[str, str], build) -> None:
         query(f"{prefix}_{name}", covers, sql)(lambda t, name=name: longs(rounded(build(t)[name], 2)))
 
 
-_report("recession", "R1 R3", _RECESSION_SQL, lambda t: car_plans.run_report(car_plans.RECESSION, cars(t)))
-_report("yearly", "R2 R3", _YEARLY_SQL, lambda t: car_plans.run_report(car_plans.YEARLY, cars(t), 1999))
-_report("comparison", "R4", _COMPARISON_SQL, lambda t: car_plans.recession_comparison(cars(t)))
+_report("recession", "R1 R3", _RECESSION_SQL, lambda t: car_plans.run_report(car_plans.RECESSION, cars(t), staged=False))
+_report("yearly", "R2 R3", _YEARLY_SQL, lambda t: car_plans.run_report(car_plans.YEARLY, cars(t), 1999, staged=False))
+_report("comparison", "R4", _COMPARISON_SQL, lambda t: car_plans.recession_comparison(cars(t), staged=False))
 
 
 @query("bubble_points", "P3", f"""
@@ -88,7 +89,25 @@ _RIDE_SQL = {
         FROM clean GROUP BY ALL""",
     "rides_by_month": f"""WITH {CLEAN_RIDES} SELECT {_MONTHS}, count(ride_id) AS ride_id FROM clean GROUP BY ALL""",
 }
-_report("rides", "R5", _RIDE_SQL, lambda t: ride_plans.ride_usage_report(ride_plans.clean_rides(rides(t))))
+_report("rides", "R5", _RIDE_SQL, lambda t: ride_plans.ride_usage_report(ride_plans.clean_rides(rides(t)), staged=False))
+
+
+@query("rides_whole_report", "R5", f"""
+    WITH {CLEAN_RIDES} SELECT 'rider' AS part, member_casual AS k, round(avg(ride_length), 2) AS v FROM clean GROUP BY ALL
+    UNION ALL SELECT 'month', member_casual || month_name, round(avg(ride_length), 2) FROM clean GROUP BY ALL
+    UNION ALL SELECT 'bike', member_casual || rideable_type, count(*)::DOUBLE FROM clean GROUP BY ALL
+    UNION ALL SELECT 'weekday', member_casual || weekday, round(avg(ride_length), 2) FROM clean GROUP BY ALL""")
+def _(t: Tables):
+    # several tables of one staged report: the rides are read once
+    report = ride_plans.ride_usage_report(ride_plans.clean_rides(rides(t)))
+    rider = F.col("member_casual")
+    parts = [("rider", "length_by_rider", rider, "ride_length"),
+             ("month", "length_by_month", F.concat(rider, "month_name"), "ride_length"),
+             ("bike", "rides_by_bike", F.concat(rider, "rideable_type"), "count"),
+             ("weekday", "length_by_weekday", F.concat(rider, "weekday"), "ride_length")]
+    return union_all([
+        report[table].select(F.lit(part).alias("part"), k.alias("k"), F.round(F.col(v).cast("double"), 2).alias("v"))
+        for part, table, k, v in parts])
 
 
 @query("rides_labelled_months", "R5 P16", f"""
@@ -97,7 +116,7 @@ _report("rides", "R5", _RIDE_SQL, lambda t: ride_plans.ride_usage_report(ride_pl
     SELECT {_MONTHS}, round(avg(ride_length), 2) AS ride_length, label AS month_label, NULL::VARCHAR AS member_casual_label
     FROM clean JOIN labels USING (month) GROUP BY ALL""")
 def _(t: Tables):
-    report = ride_plans.ride_usage_report(ride_plans.clean_rides(rides(t)))
+    report = ride_plans.ride_usage_report(ride_plans.clean_rides(rides(t)), staged=False)
     labelled = ride_plans.labelled({"m": report["length_by_month"]})["m"]
     return longs(rounded(labelled, 2))
 
@@ -107,7 +126,7 @@ def _(t: Tables):
         {", ".join(f'round(avg(CASE WHEN month = {m} THEN ride_length END), 2) AS "m{m}"' for m in range(1, 13))}
     FROM clean GROUP BY ALL""")
 def _(t: Tables):
-    report = ride_plans.ride_usage_report(ride_plans.clean_rides(rides(t)))
+    report = ride_plans.ride_usage_report(ride_plans.clean_rides(rides(t)), staged=False)
     table = ride_plans.length_by_rider_and_month(report["length_by_month"])
     return rounded(table.toDF("member_casual", *[f"m{m}" for m in range(1, 13)]), 2)
 

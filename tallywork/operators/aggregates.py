@@ -63,6 +63,33 @@ def group_multi(df: DataFrame, keys, functions: Mapping[str, str | Sequence[str]
     return _grouped(df, _key_list(keys), dropna).agg(*aggregates)
 
 
+def partial_sums(
+    df: DataFrame, keys: Sequence[str], values: Sequence[str], counted: Sequence[str] = ()
+) -> DataFrame:
+    """(keys, <value>_sum, <value>_n, <counted>_n): the finest grouping a set of tables needs.
+
+    Means, sums and counts over any subset of the keys follow from it, so a report with many tables
+    scans and shuffles its facts once.
+    """
+    sums = [a for v in values for a in (F.sum(v).alias(f"{v}_sum"), F.count(v).alias(f"{v}_n"))]
+    return df.groupBy(*keys).agg(*sums, *[F.count(c).alias(f"{c}_n") for c in counted])
+
+
+def mean_of_sums(partial: DataFrame, keys, values: str | Sequence[str], dropna: bool = True) -> DataFrame:
+    """Means of the original rows from :func:`partial_sums`."""
+    means = [F.try_divide(F.sum(f"{v}_sum"), F.sum(f"{v}_n")).alias(v) for v in _key_list(values)]
+    return _grouped(partial, _key_list(keys), dropna).agg(*means)
+
+
+def sum_of_sums(partial: DataFrame, keys, value: str, dropna: bool = True) -> DataFrame:
+    total = F.coalesce(F.sum(f"{value}_sum"), F.lit(0))
+    return _grouped(partial, _key_list(keys), dropna).agg(total.alias(value))
+
+
+def count_of_sums(partial: DataFrame, keys, value: str, out: str | None = None, dropna: bool = True) -> DataFrame:
+    return _grouped(partial, _key_list(keys), dropna).agg(F.sum(f"{value}_n").alias(out or value))
+
+
 def total_where(df: DataFrame, conditions: Mapping[str, Column], value: str, empty=None) -> DataFrame:
     """Filtered sums, one output column per named condition, all in one scan.
 
@@ -109,7 +136,11 @@ def _percent_of_total(grouped: DataFrame, amount: str, out: str, digits: int | N
 
 def value_shares(df: DataFrame, col: str, digits: int | None = 1, out: str = "percent") -> DataFrame:
     """Relative frequencies in percent, most frequent first."""
-    counts = frequencies(df, col, "count")
+    return shares_of_counts(frequencies(df, col, "count"), col, digits, out)
+
+
+def shares_of_counts(counts: DataFrame, col: str, digits: int | None = 1, out: str = "percent") -> DataFrame:
+    """The same from a frequency table (``col``, count)."""
     return (_percent_of_total(counts, "count", out, digits)
             .orderBy(F.desc("count"), F.asc(col)).select(col, out))
 

@@ -108,12 +108,18 @@ def complete_categories(
 ) -> DataFrame:
     """Fill a grouped result to every (observed key, level); values of absent pairs are NULL.
 
-    The fixed level list is exploded per observed key. A ``category`` outside ``levels`` drops out,
-    as a value outside an ordered category does.
+    A ``category`` outside ``levels`` drops out, as a value outside an ordered category does. The
+    few levels found per key are gathered in a map and read back level by level: a self-join with
+    the observed keys would compute the grouped result, and so scan its facts, twice.
     """
-    every_level = F.explode(F.array(*[F.lit(level) for level in levels])).alias(category)
-    frame = grouped.select(*keys).distinct().select(*keys, every_level)
-    return join_on(frame, grouped, [*keys, category], "left").select(*grouped.columns)
+    values = [c for c in grouped.columns if c not in (*keys, category)]
+    every = [F.lit(level) for level in levels]
+    entry = F.struct(F.col(category), F.struct(*values))
+    found = grouped.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col(category).isin(list(levels)), entry))).alias("__found"))
+    full = found.select(*keys, "__found", F.explode(F.array(*every)).alias(category))
+    row = F.try_element_at("__found", F.col(category))
+    return full.select(*keys, category, *[row[v].alias(v) for v in values]).select(*grouped.columns)
 
 
 def rows_at_extreme(

@@ -67,7 +67,7 @@ def box_summary(df: DataFrame, group: str, value: str, reach: float = 1.5) -> Da
     stored = store_histogram(df, value, [group])
     fences = broadcast_if_small(
         _fences(histogram_quantiles(stored, value, QUARTILES, [group]), [group], reach))
-    fenced = join_on(stored, fences, [group])
+    fenced = join_on(stored, fences, [group], na_matches=False)
     inside = F.when(~_beyond(value), F.col(value))
     return fenced.groupBy(group).agg(
         F.sum(WEIGHT).alias("n"),
@@ -93,9 +93,9 @@ def histogram(df: DataFrame, value: str, width: float, keys: Sequence[str] = (),
     return counts.select(*keys, "bin", (F.col("bin") * F.lit(width) + F.lit(start)).alias("bin_start"), "count")
 
 
-# Poisson(1) distribution over 16-bit draws: how many of the 65536 draws give a weight of 0, 1, 2, ...
-_POISSON_STEPS = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 9)])) * 65536
-_POISSON_TABLE = np.searchsorted(_POISSON_STEPS, np.arange(65536), side="right").astype("uint8")
+# Poisson(1) distribution over 16-bit draws: a draw at or above the k-th step weighs at least k
+_POISSON_STEPS = np.round(np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 8)])) * 65536)
+_POISSON_STEPS = _POISSON_STEPS[_POISSON_STEPS < 65536].astype("uint16")
 
 
 def _weights(row_hash: np.ndarray, first: int, count: int) -> np.ndarray:
@@ -108,27 +108,41 @@ def _weights(row_hash: np.ndarray, first: int, count: int) -> np.ndarray:
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     z ^= z >> np.uint64(31)
-    return _POISSON_TABLE[z.view("uint16")][:, :count]
+    draws = z.view("uint16")[:, :count]
+    weight = np.zeros(draws.shape, "uint8")
+    for step in _POISSON_STEPS:
+        weight += draws >= step
+    return weight
+
+
+def _sum_by_group(weight: np.ndarray, value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weighted sums, weights) per run of rows and replicate."""
+    weight = weight.astype("float64")
+    if len(value) < 16 * len(starts):
+        return np.add.reduceat(weight * value[:, None], starts, axis=0), np.add.reduceat(weight, starts, axis=0)
+    both = np.stack([value, np.ones_like(value)])
+    ends = [*starts[1:], len(value)]
+    sums = np.stack([both[:, i:j] @ weight[i:j] for i, j in zip(starts, ends, strict=True)])
+    return sums[:, 0], sums[:, 1]
 
 
 def _replicate_sums(keys: list[str], n_boot: int, block: int = 200):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            code, groups = batch.groupby(keys, dropna=False, sort=False).ngroup(), None
-            order = np.argsort(code.to_numpy(), kind="stable")
-            batch = batch.iloc[order]
-            code = code.to_numpy()[order]
+            if batch.empty:
+                continue
+            code = batch.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(code, kind="stable")
+            batch, code = batch.iloc[order], code[order]
             starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-            groups = batch[keys].iloc[starts]
+            groups = batch[keys].iloc[starts].reset_index(drop=True)
             value = batch["__value"].to_numpy("float64")
             row_hash = batch["__hash"].to_numpy("int64").view("uint64")
             for first in range(0, n_boot, block):
                 count = min(block, n_boot - first)
-                weight = _weights(row_hash, first, count).astype("float64")
-                sums = np.add.reduceat(weight * value[:, None], starts, axis=0)
-                sizes = np.add.reduceat(weight, starts, axis=0)
+                sums, sizes = _sum_by_group(_weights(row_hash, first, count), value, starts)
                 out = groups.loc[groups.index.repeat(count)].reset_index(drop=True)
-                out["__rep"] = np.tile(np.arange(first, first + count), len(groups))
+                out["__rep"] = np.tile(np.arange(first, first + count, dtype="int32"), len(groups))
                 out["__sum"] = sums.ravel()
                 out["__size"] = sizes.ravel()
                 yield out
@@ -167,4 +181,4 @@ def mean_with_ci(
         F.percentile("__mean", F.lit(1.0 - tail)).alias("high"),
     )
     means = rows.groupBy(*keys).agg(F.avg(value).alias("mean"))
-    return join_on(means, band, keys, "left").select(*keys, "mean", "low", "high")
+    return join_on(means, band, keys, "left", na_matches=False).select(*keys, "mean", "low", "high")

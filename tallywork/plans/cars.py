@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywork.operators.aggregates import (
-    group_mean, group_multi, group_sum, share_of_total, shares_of_rows, total_where,
+    mean_of_sums, partial_sums, shares_of_rows, sum_of_sums, total_where,
 )
 from tallywork.operators.filters import filter_compare
 from tallywork.operators.stats import mean_with_ci
+from tallywork.session import write_scratch
 
 YEARLY = "Yearly Statistics"
 RECESSION = "Recession Period Statistics"
@@ -17,56 +18,73 @@ RECESSION = "Recession Period Statistics"
 SALES, ADS, TYPE = "Automobile_Sales", "Advertising_Expenditure", "Vehicle_Type"
 
 
+PERIOD_KEYS = ["Year", "Month", "Recession", "unemployment_rate", TYPE]
+
+
 def in_recession(cars: DataFrame, flag: int = 1) -> DataFrame:
     return filter_compare(cars, "Recession", "==", flag)
 
 
-def recession_report(cars: DataFrame) -> dict[str, DataFrame]:
+def _sums(cars: DataFrame, staged: bool) -> DataFrame:
+    """One grouping that every table of a report follows from, written if ``staged``."""
+    partial = partial_sums(cars, PERIOD_KEYS, [SALES, ADS, "Price", "GDP"])
+    return write_scratch(partial, "car-sums") if staged else partial
+
+
+def _ads_by_type(sums: DataFrame) -> DataFrame:
+    return shares_of_rows(sum_of_sums(sums, TYPE, ADS), ADS)
+
+
+def recession_report(cars: DataFrame, staged: bool = True) -> dict[str, DataFrame]:
     """Sales and advertising during recessions."""
-    rec = in_recession(cars)
+    rec = _sums(in_recession(cars), staged)
     return {
-        "sales_by_year": group_mean(rec, "Year", SALES),
-        "sales_by_type": group_mean(rec, TYPE, SALES),
-        "ads_by_type": share_of_total(rec, TYPE, ADS),
-        "sales_by_unemployment": group_mean(rec, ["unemployment_rate", TYPE], SALES),
+        "sales_by_year": mean_of_sums(rec, "Year", SALES),
+        "sales_by_type": mean_of_sums(rec, TYPE, SALES),
+        "ads_by_type": _ads_by_type(rec),
+        "sales_by_unemployment": mean_of_sums(rec, ["unemployment_rate", TYPE], SALES),
     }
 
 
-def yearly_report(cars: DataFrame, year: int) -> dict[str, DataFrame]:
+def yearly_report(cars: DataFrame, year: int, staged: bool = True) -> dict[str, DataFrame]:
     """Sales over all years and months, and the given year's sales and advertising by type."""
-    chosen = filter_compare(cars, "Year", "==", int(year))
+    sums = _sums(cars, staged)
+    chosen = filter_compare(sums, "Year", "==", int(year))
     return {
-        "sales_by_year": group_mean(cars, "Year", SALES),
-        "sales_by_month": group_sum(cars, "Month", SALES),
-        "sales_by_type": group_mean(chosen, TYPE, SALES),
-        "ads_by_type": share_of_total(chosen, TYPE, ADS),
+        "sales_by_year": mean_of_sums(sums, "Year", SALES),
+        "sales_by_month": sum_of_sums(sums, "Month", SALES),
+        "sales_by_type": mean_of_sums(chosen, TYPE, SALES),
+        "ads_by_type": _ads_by_type(chosen),
     }
 
 
-def run_report(name: str, cars: DataFrame, year: int | None = None) -> dict[str, DataFrame]:
+def run_report(
+    name: str, cars: DataFrame, year: int | None = None, staged: bool = True
+) -> dict[str, DataFrame]:
     """A report by its name; the yearly one is empty unless a year is chosen."""
     if name == RECESSION:
-        return recession_report(cars)
+        return recession_report(cars, staged)
     if name == YEARLY and year:
-        return yearly_report(cars, year)
+        return yearly_report(cars, year, staged)
     return {}
 
 
-def recession_comparison(cars: DataFrame) -> dict[str, DataFrame]:
+def recession_comparison(cars: DataFrame, staged: bool = True) -> dict[str, DataFrame]:
     """Recession against the other years."""
-    rec = in_recession(cars)
-    periods = total_where(cars, {
+    sums = _sums(cars, staged)
+    rec = in_recession(sums)
+    periods = total_where(sums, {
         "Recession": F.col("Recession") == 1,
         "Non-Recession": F.col("Recession") == 0,
-    }, ADS, empty=0)
+    }, f"{ADS}_sum", empty=0)
     rows = F.array(*[F.struct(F.lit(c).alias("period"), F.col(f"`{c}`").alias(ADS)) for c in periods.columns])
     return {
-        "gdp_in_recession": group_mean(rec, "Year", "GDP"),
-        "gdp_otherwise": group_mean(in_recession(cars, 0), "Year", "GDP"),
-        "sales_by_year_and_type": group_mean(rec, ["Year", TYPE], SALES),
-        "price_and_sales_by_type": group_multi(rec, TYPE, {"Price": "mean", SALES: "mean"}),
+        "gdp_in_recession": mean_of_sums(rec, "Year", "GDP"),
+        "gdp_otherwise": mean_of_sums(in_recession(sums, 0), "Year", "GDP"),
+        "sales_by_year_and_type": mean_of_sums(rec, ["Year", TYPE], SALES),
+        "price_and_sales_by_type": mean_of_sums(rec, TYPE, ["Price", SALES]),
         "ads_by_period": shares_of_rows(periods.select(F.inline(rows)), ADS),
-        "ads_by_type": share_of_total(rec, TYPE, ADS),
+        "ads_by_type": _ads_by_type(rec),
     }
 
 

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywork.functions.dates import WEEKDAYS_FROM_SUNDAY, calendar_columns, whole_minutes
-from tallywork.operators.aggregates import group_count, group_mean, pivot_mean, shares_of_rows, value_shares
+from tallywork.operators.aggregates import (
+    count_of_sums, group_mean, mean_of_sums, partial_sums, pivot_mean, shares_of_counts, shares_of_rows,
+)
 from tallywork.operators.columns import recode
 from tallywork.operators.filters import drop_incomplete_rows, filter_compare
 from tallywork.operators.joins import complete_categories
 from tallywork.operators.ordering import sort_by_levels
+from tallywork.session import write_scratch
 
 # fixed values: labels of rider types, bike types, weekdays and months
 RIDER_LABELS = {"member": "會員", "casual": "臨時使用者"}
@@ -33,26 +36,36 @@ def clean_rides(rides: DataFrame) -> DataFrame:
     return kept.withColumns(calendar_columns(F.col("started_at")))
 
 
-def mean_length_by_weekday(rides: DataFrame, rider: str = "member_casual") -> DataFrame:
-    """Mean ride length per rider type and weekday, Sunday first, with NULL for days without rides."""
-    means = group_mean(rides, [rider, "weekday"], "ride_length")
+def _in_weekday_order(means: DataFrame, rider: str) -> DataFrame:
     full = complete_categories(means, [rider], "weekday", WEEKDAYS_FROM_SUNDAY)
     return sort_by_levels(full, "weekday", WEEKDAYS_FROM_SUNDAY, then=[rider])
 
 
-def ride_usage_report(rides: DataFrame) -> dict[str, DataFrame]:
-    """The tables behind the charts, from rides prepared by :func:`clean_rides`."""
+def mean_length_by_weekday(rides: DataFrame, rider: str = "member_casual") -> DataFrame:
+    """Mean ride length per rider type and weekday, Sunday first, with NULL for days without rides."""
+    return _in_weekday_order(group_mean(rides, [rider, "weekday"], "ride_length"), rider)
+
+
+def ride_usage_report(rides: DataFrame, staged: bool = True) -> dict[str, DataFrame]:
+    """The tables behind the charts, from rides prepared by :func:`clean_rides`.
+
+    All come from one grouping by rider type, bike type, weekday and month. ``staged`` writes it,
+    so that asking for every table reads the rides once; unstaged, each table runs on its own.
+    """
     rider = "member_casual"
     months = [rider, "month", "month_name"]
-    by_rider = group_mean(rides, rider, "ride_length")
+    partial = partial_sums(rides, [*months, "weekday", "rideable_type"], ["ride_length"], ["ride_id"])
+    if staged:
+        partial = write_scratch(partial, "ride-sums")
+    by_rider = mean_of_sums(partial, rider, "ride_length")
     return {
-        "rider_share": value_shares(rides, rider),
+        "rider_share": shares_of_counts(count_of_sums(partial, rider, "ride_length", "count"), rider),
         "length_by_rider": by_rider,
         "length_share_by_rider": shares_of_rows(by_rider, "ride_length"),
-        "length_by_weekday": mean_length_by_weekday(rides),
-        "length_by_month": group_mean(rides, months, "ride_length"),
-        "rides_by_bike": group_count(rides, [rider, "rideable_type"], "ride_id", "count"),
-        "rides_by_month": group_count(rides, months, "ride_id"),
+        "length_by_weekday": _in_weekday_order(mean_of_sums(partial, [rider, "weekday"], "ride_length"), rider),
+        "length_by_month": mean_of_sums(partial, months, "ride_length"),
+        "rides_by_bike": count_of_sums(partial, [rider, "rideable_type"], "ride_id", "count"),
+        "rides_by_month": count_of_sums(partial, months, "ride_id"),
     }
 
 
