@@ -168,7 +168,7 @@ def _(t: Tables):
     FROM orders WHERE o_orderstatus <> 'P'""")
 def _(t: Tables):
     kept = t.orders.filter(F.col("o_orderstatus") != "P").select("o_orderkey", "o_orderdate")
-    return renumber(kept, ["o_orderdate", "o_orderkey"], "flight_number").drop("o_orderdate")
+    return renumber(kept, ["o_orderdate", "o_orderkey"], "flight_number", unique=True).drop("o_orderdate")
 
 
 @query("rename_results", "P18", """

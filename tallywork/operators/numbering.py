@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tallywork.session import write_scratch
@@ -38,11 +39,18 @@ def store_in_order(df: DataFrame, order: Sequence[str | Column], label: str) ->
     return write_scratch(placed, label)
 
 
-def renumber(df: DataFrame, order: Sequence[str | Column], out: str = "row_number", start: int = 1) -> DataFrame:
-    """Number the rows ``start``, ``start + 1``, ... in ``order``, which should be unique per row.
+def renumber(
+    df: DataFrame, order: Sequence[str | Column], out: str = "row_number", start: int = 1, unique: bool = False
+) -> DataFrame:
+    """Number the rows ``start``, ``start + 1``, ... in ``order``.
 
-    Runs one job, which writes the ordered rows to the scratch area.
+    Ties are ordered by the hash of the row's content: the numbers are the same in every run, and
+    the rows of a much repeated order value need not share one partition. Say ``unique`` if there
+    are no ties, to save the hash. Runs one job, which writes the ordered rows to the scratch area.
     """
+    if not unique:
+        content = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+        order = [*order, F.xxhash64(*content)]
     placed = store_in_order(df, order, "renumber")
     parts = placed.groupBy(PART).agg(F.count(F.lit(1)).alias("__rows"))
     earlier = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)

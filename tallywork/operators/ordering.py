@@ -60,7 +60,7 @@ def tail(df: DataFrame, n: int, order: Sequence[str], rank: str | None = None) -
 
 def rank_by_count(df: DataFrame, col: str, out: str = "rank") -> DataFrame:
     """Every value with its frequency and 0-based position in descending frequency, ties by value."""
-    return renumber(frequencies(df, col), [F.desc("count"), F.asc(col)], out, start=0)
+    return renumber(frequencies(df, col), [F.desc("count"), F.asc(col)], out, start=0, unique=True)
 
 
 def values_at_ranks(df: DataFrame, col: str, ranks: Sequence[int], rank: str = "rank") -> DataFrame:

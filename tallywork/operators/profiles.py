@@ -80,11 +80,13 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = Fa
         for c in cols
     ])
     summary = _long(summary, cols, "s").select("column", "s.*")
-    melted = numbers.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols
+    melted = numbers.select(F.inline(F.array(*[  # the column's number shuffles lighter than its name
+        F.struct(F.lit(i).alias("no"), F.col(c).alias("value")) for i, c in enumerate(cols)
     ])))
     names = dict(zip(QUARTILES, ("q25", "q50", "q75"), strict=True))
-    spread = widen(quantiles(melted, "value", QUARTILES, ["column"], approx), ["column"], names)
+    spread = widen(quantiles(melted, "value", QUARTILES, ["no"], approx), ["no"], names)
+    column = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("no") + 1)
+    spread = spread.select(column.alias("column"), *names.values())
     order = ["column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"]
     return summary.join(spread, "column", "left").select(*order)
 
