@@ -2,16 +2,17 @@
 
 The built-in ``percentile`` keeps all distinct values of a group in one task. Here the values are
 first counted, which collapses repetitions before and after the shuffle, then range-partitioned by
-(group, value) and written, so that a group holding most of the rows is spread over many
-partitions. The sizes of these pieces tell which few pieces hold the wanted ranks, and only those
-are scanned in order.
+(group, value) and written in order, so that a group holding most of the rows is spread over many
+partitions. A wanted rank is then narrowed down by adding up counts: to the partition that holds
+it, to a chunk of neighbouring values in it, and to the value. Only the values of those chunks are
+ever put in order by one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,17 +20,30 @@ from tallywork.operators.joins import broadcast_if_small, join_on
 from tallywork.operators.numbering import PART, PLACE, store_in_order
 
 WEIGHT = "__weight"
+CHUNK = "__chunk"
+CHUNK_ROWS = 512  # neighbouring values that one task puts in order for each rank in the end
 QUARTILES = (0.25, 0.5, 0.75)
 
 
 def store_histogram(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, value, WEIGHT, PART): how often each non-missing value occurs, written in order."""
+    """(keys, value, WEIGHT, PART, CHUNK): how often each non-missing value occurs, written in order."""
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias(WEIGHT))
     )
-    return store_in_order(counts, [*keys, value], "histogram").drop(PLACE)
+    placed = store_in_order(counts, [*keys, value], "histogram")
+    return placed.withColumn(CHUNK, F.floor(F.col(PLACE) / CHUNK_ROWS)).drop(PLACE)
+
+
+def _holding(ranks: Column, first: Column, size: Column) -> Column:
+    """Those of the wanted ranks that fall among ``size`` rows from rank ``first`` on."""
+    return F.filter(ranks, lambda r: (r["rank"] >= first) & (r["rank"] < first + size))
+
+
+def _before(amount: str, within: Sequence[str], order: str) -> Column:
+    earlier = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(amount).over(earlier), F.lit(0))
 
 
 def histogram_quantiles(
@@ -37,43 +51,38 @@ def histogram_quantiles(
 ) -> DataFrame:
     """(keys, prob, quantile) from a stored histogram."""
     keys = list(keys)
-    pieces = stored.groupBy(*keys, PART).agg(F.sum(WEIGHT).alias("__size"))
-    in_group = Window.partitionBy(*keys)  # one row per partition of the written table and group
-    pieces = pieces.select(
-        *keys, PART, "__size",
-        F.coalesce(
-            F.sum("__size").over(in_group.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("__before"),
-        F.sum("__size").over(in_group).alias("__n"),
-    )
-    exact = [F.lit(float(p)) * (F.col("__n") - 1) for p in probs]
+    chunks = stored.groupBy(*keys, PART, CHUNK).agg(F.sum(WEIGHT).alias("__size"))
+
+    # partitions: a group has at most one row per partition of the written table
+    parts = chunks.groupBy(*keys, PART).agg(F.sum("__size").alias("__size"))
+    parts = parts.withColumns({
+        "__first": _before("__size", keys, PART),
+        "__n": F.sum("__size").over(Window.partitionBy(*keys)),
+    })
     ranks = []
-    for p, at in zip(probs, exact, strict=True):
+    for p in probs:
+        at = F.lit(float(p)) * (F.col("__n") - 1)
         low = F.floor(at)
         for rank in (low, F.least(low + 1, F.col("__n") - 1)):
             ranks.append(F.struct(F.lit(float(p)).alias("prob"), rank.alias("rank"),
                                   (at - low).alias("part")))
-    held = F.filter(
-        F.array(*ranks),
-        lambda r: (r["rank"] >= F.col("__before")) & (r["rank"] < F.col("__before") + F.col("__size")),
-    )
-    wanted = (
-        pieces.select(*keys, PART, "__before", held.alias("__wants"))
-        .filter(F.size("__wants") > 0)
-    )
-    wanted = broadcast_if_small(wanted)
-
-    scanned = join_on(stored, wanted, [*keys, PART])
-    in_piece = Window.partitionBy(*keys, PART).orderBy(value)
-    running = F.sum(WEIGHT).over(in_piece.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    scanned = scanned.withColumn("__end", F.col("__before") + running)
-    hits = F.filter(
-        F.col("__wants"),
-        lambda r: (r["rank"] >= F.col("__end") - F.col(WEIGHT)) & (r["rank"] < F.col("__end")),
-    )
-    found = scanned.select(*keys, F.col(value).cast("double").alias("__value"),
-                           F.inline(hits).alias("prob", "rank", "part"))
+    wants = _holding(F.array(*ranks), F.col("__first"), F.col("__size"))
+    parts = parts.select(*keys, PART, F.col("__first").alias("__part_first"), wants.alias("__wants"))
+    parts = parts.filter(F.size("__wants") > 0)
+
+    # chunks within the partitions that hold a wanted rank
+    within = join_on(chunks, parts, [*keys, PART])
+    within = within.withColumn("__first", F.col("__part_first") + _before("__size", [*keys, PART], CHUNK))
+    wants = _holding(F.col("__wants"), F.col("__first"), F.col("__size"))
+    within = within.select(*keys, PART, CHUNK, "__first", wants.alias("__wants"))
+    within = broadcast_if_small(within.filter(F.size("__wants") > 0))
+
+    # values within the chunks that do
+    values = join_on(stored, within, [*keys, PART, CHUNK])
+    values = values.withColumn("__at", F.col("__first") + _before(WEIGHT, [*keys, PART, CHUNK], value))
+    wants = _holding(F.col("__wants"), F.col("__at"), F.col(WEIGHT))
+    found = values.select(*keys, F.col(value).cast("double").alias("__value"),
+                          F.inline(wants).alias("prob", "rank", "part"))
     low, high = F.min("__value"), F.max("__value")
     return found.groupBy(*keys, "prob").agg((low + (high - low) * F.first("part")).alias("quantile"))
 

@@ -115,9 +115,27 @@ def _weights(row_hash: np.ndarray, first: int, count: int) -> np.ndarray:
     return weight
 
 
+_DRAWN_ONE_BY_ONE = 8
+
+
+def _cell_weights(row_hash: np.ndarray, count: np.ndarray, first: int, replicates: int) -> np.ndarray:
+    """Poisson(count) weights: what ``count`` equal rows with Poisson(1) weights add up to.
+
+    Small counts add single draws for all cells at once; a large count draws from its own generator,
+    seeded by cell and replicate block.
+    """
+    weight = _weights(row_hash, first, replicates).astype("float64")
+    small = count <= _DRAWN_ONE_BY_ONE
+    for extra in range(1, int(count[small].max(initial=1))):
+        more = small & (count > extra)
+        weight[more] += _weights(row_hash[more] ^ np.uint64(extra << 32), first, replicates)
+    for i in np.flatnonzero(~small):
+        weight[i] = np.random.Generator(np.random.Philox(key=[row_hash[i], first])).poisson(count[i], replicates)
+    return weight
+
+
 def _sum_by_group(weight: np.ndarray, value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(weighted sums, weights) per run of rows and replicate."""
-    weight = weight.astype("float64")
     if len(value) < 16 * len(starts):
         return np.add.reduceat(weight * value[:, None], starts, axis=0), np.add.reduceat(weight, starts, axis=0)
     both = np.stack([value, np.ones_like(value)])
@@ -138,9 +156,11 @@ def _replicate_sums(keys: list[str], n_boot: int, block: int = 200):
             groups = batch[keys].iloc[starts].reset_index(drop=True)
             value = batch["__value"].to_numpy("float64")
             row_hash = batch["__hash"].to_numpy("int64").view("uint64")
+            cells = batch["__count"].to_numpy("int64")
             for first in range(0, n_boot, block):
                 count = min(block, n_boot - first)
-                sums, sizes = _sum_by_group(_weights(row_hash, first, count), value, starts)
+                weight = _cell_weights(row_hash, cells, first, count)
+                sums, sizes = _sum_by_group(weight, value, starts)
                 out = groups.loc[groups.index.repeat(count)].reset_index(drop=True)
                 out["__rep"] = np.tile(np.arange(first, first + count, dtype="int32"), len(groups))
                 out["__sum"] = sums.ravel()
@@ -153,24 +173,24 @@ def mean_with_ci(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    row_id: Sequence[str],
     n_boot: int = 1000,
     level: float = 95.0,
     seed: int = 0,
 ) -> DataFrame:
     """(keys, mean, low, high): group means with a bootstrap band.
 
-    Poisson bootstrap: in each replicate a row counts as often as a Poisson(1) weight drawn from
-    its ``row_id``, the replicate and ``seed``, so the band depends neither on the partitioning nor
-    on retries. One scan; each batch is reduced to sums per (key, replicate) before the shuffle.
+    Poisson bootstrap: in each replicate every row counts as often as a Poisson(1) weight says.
+    Equal values of a group are counted first and weighted together, so repeated values collapse
+    before the shuffle. The weights depend on group, value, replicate and ``seed`` alone, hence
+    neither on the partitioning nor on retries. One scan; each batch of cells is reduced to sums
+    per (group, replicate) before the second shuffle.
     """
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull()).na.drop("any", subset=keys)
-    drawn = rows.select(
-        *keys, F.col(value).cast("double").alias("__value"),
-        F.xxhash64(*row_id, F.lit(seed)).alias("__hash"),
-    )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in drawn.select(*keys).schema.fields)
+    cells = rows.groupBy(*keys, F.col(value).cast("double").alias("__value")).agg(
+        F.count(F.lit(1)).alias("__count"))
+    drawn = cells.withColumn("__hash", F.xxhash64(*keys, "__value", F.lit(seed)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*keys).schema.fields)
     sums = drawn.mapInPandas(
         _replicate_sums(keys, n_boot), f"{schema}, __rep int, __sum double, __size double")
     replicate = sums.groupBy(*keys, "__rep").agg(
@@ -180,5 +200,6 @@ def mean_with_ci(
         F.percentile("__mean", F.lit(tail)).alias("low"),
         F.percentile("__mean", F.lit(1.0 - tail)).alias("high"),
     )
-    means = rows.groupBy(*keys).agg(F.avg(value).alias("mean"))
+    means = cells.groupBy(*keys).agg(
+        (F.sum(F.col("__value") * F.col("__count")) / F.sum("__count")).alias("mean"))
     return join_on(means, band, keys, "left", na_matches=False).select(*keys, "mean", "low", "high")

@@ -88,9 +88,9 @@ def recession_comparison(cars: DataFrame, staged: bool = True) -> dict[str, Data
     }
 
 
-def sales_trend(cars: DataFrame, row_id: list[str], n_boot: int = 1000) -> DataFrame:
+def sales_trend(cars: DataFrame, n_boot: int = 1000) -> DataFrame:
     """Mean sales with their band per year, vehicle type and recession flag."""
-    return mean_with_ci(cars, ["Year", TYPE, "Recession"], SALES, row_id, n_boot)
+    return mean_with_ci(cars, ["Year", TYPE, "Recession"], SALES, n_boot)
 
 
 def bubble_points(cars: DataFrame) -> DataFrame:

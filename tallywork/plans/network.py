@@ -90,15 +90,15 @@ def credential_stuffing(
         raise ValueError(f"window width {width} is no multiple of its step {slide}")
     per_step = log.groupBy(F.window(ts, slide).alias("step"), account, source).agg(
         F.count(F.lit(1)).alias("n"))
-    per_source = per_step.groupBy(
-        F.window(F.col("step.start"), width, slide).alias("w"), account, source
-    ).agg(F.sum("n").alias("n"))
-    counts = per_source.groupBy("w", account).agg(
+    in_windows = per_step.select(
+        F.window(F.col("step.start"), width, slide).alias("w"), account, source, "n"
+    ).select(F.col("w.start").alias("window_start"), account, source, "n")
+    per_source = in_windows.groupBy("window_start", account, source).agg(F.sum("n").alias("n"))
+    counts = per_source.groupBy("window_start", account).agg(
         F.sum("n").alias("attempts"), F.count(source).alias("sources"))
     suspects = counts.filter((F.col("attempts") >= min_attempts) & (F.col("sources") >= min_sources))
-    return suspects.select(
-        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), account,
-        "attempts", "sources")
+    end = (F.col("window_start") + F.expr(f"interval {width}")).alias("window_end")
+    return suspects.select("window_start", end, account, "attempts", "sources")
 
 
 def unusual_access(log: DataFrame, user: str, resource: str, k: float = 3.0) -> DataFrame:

@@ -79,7 +79,7 @@ def test_car_reports(spark, staged):
 
 def test_sales_trend_has_a_point_band_for_single_rows(spark):
     df = spark.createDataFrame(CARS, schemas.CAR_SALES)
-    got = {r[1]: tuple(r)[3:] for r in cars.sales_trend(df, ["Year", "Vehicle_Type", "Automobile_Sales"], 50).collect()}
+    got = {r[1]: tuple(r)[3:] for r in cars.sales_trend(df, 50).collect()}
     assert got == {"Sports": (10.0, 10.0, 10.0), "Family": (30.0, 30.0, 30.0), "Truck": (50.0, 50.0, 50.0)}
 
 

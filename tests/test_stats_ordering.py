@@ -72,11 +72,26 @@ def test_poisson_weights_have_mean_and_variance_one():
     assert abs(np.corrcoef(weights[:, 0], weights[:, 1])[0, 1]) < 0.03
 
 
+def test_cells_weigh_as_much_as_their_rows():
+    count = np.array([1, 2, 5, 8, 9, 400])
+    cells = np.arange(1, 7, dtype="uint64") * np.uint64(0x9E3779B97F4A7C15)
+    weight = S._cell_weights(cells, count, 0, 4000)
+    assert np.allclose(weight.mean(1), count, rtol=0.05) and np.allclose(weight.var(1), count, rtol=0.12)
+    assert np.array_equal(weight, S._cell_weights(cells, count, 0, 4000))
+    assert np.array_equal(weight[1:4, 200:208], S._cell_weights(cells[1:4], count[1:4], 200, 8))
+
+
+def test_band_of_repeated_values_fits_the_standard_error(spark):
+    df = spark.range(4000).select(F.lit("k").alias("k"), (F.col("id") % 10).cast("double").alias("v"))
+    mean, low, high = rows(S.mean_with_ci(df, ["k"], "v").select("mean", "low", "high"))[0]
+    assert mean == 4.5 and 0.85 < (high - low) / (2 * 1.96 * (8.25 / 4000) ** 0.5) < 1.15
+
+
 def test_bootstrap_band_ignores_partitioning(spark):
     rng = np.random.default_rng(3)
     data = [(i, "a" if i < 900 else "b", float(v)) for i, v in enumerate(rng.normal(10, 2, 1000))] + [(1000, "c", 4.0), (1001, "c", None)]
     df = spark.createDataFrame(data, "id int, k string, v double")
-    one, many = (S.mean_with_ci(df.repartition(n), ["k"], "v", ["id"], n_boot=500) for n in (1, 9))
+    one, many = (S.mean_with_ci(df.repartition(n), ["k"], "v", n_boot=500) for n in (1, 9))
     a, b = rows(one), rows(many)
     assert [[round(x, 9) if isinstance(x, float) else x for x in r] for r in a] == [
         [round(x, 9) if isinstance(x, float) else x for x in r] for r in b]
