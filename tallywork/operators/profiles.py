@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywork.operators.quantiles import QUARTILES, quantiles, widen
+from tallywork.operators.quantiles import (
+    QUARTILES, WEIGHT, count_values, histogram_quantiles, quantiles, store_histogram, widen,
+)
+from tallywork.operators.sets import union_all
 
 
 def _long(row: DataFrame, cols: Sequence[str], value: str) -> DataFrame:
@@ -35,12 +38,13 @@ def null_percent(df: DataFrame) -> DataFrame:
 
 
 def distinct_counts(
-    df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False, chunk: int = 8
+    df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False, chunk: int = 1
 ) -> DataFrame:
     """(column, distinct), missing values not counted.
 
-    Exact distinct counts repeat each row once per column, so wide tables are taken ``chunk``
-    columns at a time; ``approx`` needs one pass and no repetition.
+    Several exact distinct counts in one aggregate repeat each row once per column. A columnar
+    source is better read column by column, which ``chunk=1`` does; take more columns at a time
+    where each pass would repeat a costly join. ``approx`` needs one pass and no repetition.
     """
     cols = list(cols or df.columns)
     if approx:
@@ -49,10 +53,7 @@ def distinct_counts(
     for at in range(0, len(cols), chunk):
         some = cols[at:at + chunk]
         parts.append(_long(df.agg(*[F.countDistinct(c).alias(c) for c in some]), some, "distinct"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.union(part)
-    return result
+    return union_all(parts)
 
 
 def n_distinct(df: DataFrame, col: str, out: str = "n_distinct") -> DataFrame:
@@ -67,6 +68,19 @@ def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None, out: str =
     return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias(out))
 
 
+def _column_quantiles(numbers: DataFrame, cols: Sequence[str], approx: bool) -> DataFrame:
+    """(no, prob, quantile) of each column by its number."""
+    if approx:
+        parts = [quantiles(numbers.select(F.lit(i).alias("no"), F.col(c).alias("value")), "value",
+                           QUARTILES, ["no"], approx=True) for i, c in enumerate(cols)]
+        return union_all(parts)
+    # each column is counted on its own, a narrow scan; the counts share one ordered table
+    counts = [count_values(numbers, c).select(F.lit(i).alias("no"), F.col(c).alias("value"), WEIGHT)
+              for i, c in enumerate(cols)]
+    stored = store_histogram(union_all(counts), "value", ["no"])
+    return histogram_quantiles(stored, "value", QUARTILES, ["no"])
+
+
 def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """(column, count, mean, std, min, q25, q50, q75, max) of numeric columns.
 
@@ -80,11 +94,8 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = Fa
         for c in cols
     ])
     summary = _long(summary, cols, "s").select("column", "s.*")
-    melted = numbers.select(F.inline(F.array(*[  # the column's number shuffles lighter than its name
-        F.struct(F.lit(i).alias("no"), F.col(c).alias("value")) for i, c in enumerate(cols)
-    ])))
     names = dict(zip(QUARTILES, ("q25", "q50", "q75"), strict=True))
-    spread = widen(quantiles(melted, "value", QUARTILES, ["no"], approx), ["no"], names)
+    spread = widen(_column_quantiles(numbers, cols, approx), ["no"], names)
     column = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("no") + 1)
     spread = spread.select(column.alias("column"), *names.values())
     order = ["column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"]

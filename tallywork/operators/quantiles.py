@@ -25,13 +25,14 @@ CHUNK_ROWS = 512  # neighbouring values that one task puts in order for each ran
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def store_histogram(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, value, WEIGHT, PART, CHUNK): how often each non-missing value occurs, written in order."""
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias(WEIGHT))
-    )
+def count_values(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, value, WEIGHT): how often each non-missing value occurs."""
+    rows = df.filter(F.col(value).isNotNull())
+    return rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(WEIGHT))
+
+
+def store_histogram(counts: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, value, WEIGHT, PART, CHUNK): value counts written in order."""
     placed = store_in_order(counts, [*keys, value], "histogram")
     return placed.withColumn(CHUNK, F.floor(F.col(PLACE) / CHUNK_ROWS)).drop(PLACE)
 
@@ -105,7 +106,8 @@ def quantiles(
         both = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("__q"))
         return grouped.select(*keys, F.inline(both).alias("prob", "quantile")).withColumn(
             "quantile", F.col("quantile").cast("double"))
-    return histogram_quantiles(store_histogram(df, value, keys), value, probs, keys)
+    stored = store_histogram(count_values(df, value, keys), value, keys)
+    return histogram_quantiles(stored, value, probs, keys)
 
 
 def widen(quantile_rows: DataFrame, keys: Sequence[str], names: dict[float, str]) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywork.operators.joins import broadcast_if_small, join_on
-from tallywork.operators.quantiles import QUARTILES, WEIGHT, histogram_quantiles, store_histogram, widen
+from tallywork.operators.quantiles import (
+    QUARTILES, WEIGHT, count_values, histogram_quantiles, store_histogram, widen,
+)
 
 _FENCES = dict(zip(QUARTILES, ("q1", "median", "q3"), strict=True))
 
@@ -64,7 +66,7 @@ def box_summary(df: DataFrame, group: str, value: str, reach: float = 1.5) -> Da
     work on the value counts written once, not on the rows.
     """
     df = df.filter(F.col(group).isNotNull())
-    stored = store_histogram(df, value, [group])
+    stored = store_histogram(count_values(df, value, [group]), value, [group])
     fences = broadcast_if_small(
         _fences(histogram_quantiles(stored, value, QUARTILES, [group]), [group], reach))
     fenced = join_on(stored, fences, [group], na_matches=False)
@@ -79,7 +81,8 @@ def box_summary(df: DataFrame, group: str, value: str, reach: float = 1.5) -> Da
 
 def outliers(df: DataFrame, group: str, value: str, reach: float = 1.5) -> DataFrame:
     """The rows beyond the fences of their group."""
-    stored = store_histogram(df.filter(F.col(group).isNotNull()), value, [group])
+    counts = count_values(df.filter(F.col(group).isNotNull()), value, [group])
+    stored = store_histogram(counts, value, [group])
     fences = _fences(histogram_quantiles(stored, value, QUARTILES, [group]), [group], reach)
     fences = broadcast_if_small(fences.select(group, "low_fence", "high_fence"))
     return join_on(df, fences, [group], na_matches=False).filter(_beyond(value)).select(*df.columns)

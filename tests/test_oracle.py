@@ -34,3 +34,15 @@ def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.columns == ["member_casual", "weekday", "ride_length", "weekday_order"] and df.count() == 21
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_every_operator_has_a_query_and_a_function():
+    import importlib
+
+    from inventory import FUNCTIONS, showing
+
+    for operator, names in FUNCTIONS.items():
+        assert showing(operator), operator
+        if not names.startswith("Spark") and operator != "D11":
+            module, first = names.split(",")[0].rsplit(".", 1)
+            assert hasattr(importlib.import_module(f"tallywork.{module}"), first), names

@@ -43,7 +43,7 @@ def test_a_group_is_spread_over_many_pieces(spark):
     df = spark.range(20000).select(F.lit("hot").alias("k"), (F.hash("id") % 9973).cast("double").alias("v"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        stored = Q.store_histogram(df, "v", ["k"])
+        stored = Q.store_histogram(Q.count_values(df, "v", ["k"]), "v", ["k"])
         pieces = stored.groupBy("__part").count().collect()
         assert len(pieces) >= 6 and max(p["count"] for p in pieces) < 2 * stored.count() / len(pieces)
         got = rows(Q.histogram_quantiles(stored, "v", [0.5], ["k"]))[0][2]
