@@ -62,14 +62,14 @@ def _(t: Tables):
            max(CASE WHEN NOT beyond THEN packet_length END) AS high_whisker, count_if(beyond)::BIGINT AS outliers
     FROM fenced GROUP BY attack_type""")
 def _(t: Tables):
-    return rounded(network.packet_lengths(log(t), "attack_type", "packet_length", 10)["summary"], 4)
+    return rounded(network.packet_length_summary(log(t), "attack_type", "packet_length"), 4)
 
 
 @query("packet_length_histogram", "D6", f"""
     WITH {LOG} SELECT attack_type, floor(packet_length / 10)::BIGINT AS bin, (floor(packet_length / 10) * 10)::DOUBLE AS bin_start,
                       count(*) AS count FROM log GROUP BY ALL""")
 def _(t: Tables):
-    return network.packet_lengths(log(t), "attack_type", "packet_length", 10.0)["histogram"]
+    return network.packet_length_histogram(log(t), "attack_type", "packet_length", 10.0)
 
 
 @query("traffic_spikes", "D7", f"""

@@ -8,21 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.session import fits_in_rows
-
-BROADCAST_ROWS = 200_000
 _SALT = "__salt"
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``rows`` rows.
-
-    Beyond that the join is left to Catalyst: a shuffle join that adaptive execution may split
-    where keys are skewed.
-    """
-    return F.broadcast(df) if fits_in_rows(df, rows) else df
-
-
 def join_on(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", na_matches: bool = True
 ) -> DataFrame:

@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallywork.operators.joins import broadcast_if_small, join_on
+from tallywork.operators.joins import join_on
 from tallywork.operators.numbering import PART, PLACE, store_in_order
+from tallywork.session import write_scratch
 
 WEIGHT = "__weight"
 CHUNK = "__chunk"
@@ -76,7 +77,8 @@ def histogram_quantiles(
     within = within.withColumn("__first", F.col("__part_first") + _before("__size", [*keys, PART], CHUNK))
     wants = _holding(F.col("__wants"), F.col("__first"), F.col("__size"))
     within = within.select(*keys, PART, CHUNK, "__first", wants.alias("__wants"))
-    within = broadcast_if_small(within.filter(F.size("__wants") > 0))
+    # written, so that its size decides how it is joined, and it is worked out once
+    within = write_scratch(within.filter(F.size("__wants") > 0), "ranks")
 
     # values within the chunks that do
     values = join_on(stored, within, [*keys, PART, CHUNK])

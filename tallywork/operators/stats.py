@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.operators.joins import broadcast_if_small, join_on
+from tallywork.operators.joins import join_on
 from tallywork.operators.quantiles import (
     QUARTILES, WEIGHT, count_values, histogram_quantiles, store_histogram, widen,
 )
+from tallywork.session import write_scratch
 
 _FENCES = dict(zip(QUARTILES, ("q1", "median", "q3"), strict=True))
 
@@ -67,8 +68,8 @@ def box_summary(df: DataFrame, group: str, value: str, reach: float = 1.5) -> Da
     """
     df = df.filter(F.col(group).isNotNull())
     stored = store_histogram(count_values(df, value, [group]), value, [group])
-    fences = broadcast_if_small(
-        _fences(histogram_quantiles(stored, value, QUARTILES, [group]), [group], reach))
+    fences = _fences(histogram_quantiles(stored, value, QUARTILES, [group]), [group], reach)
+    fences = write_scratch(fences, "fences")  # its size decides how it is joined
     fenced = join_on(stored, fences, [group], na_matches=False)
     inside = F.when(~_beyond(value), F.col(value))
     return fenced.groupBy(group).agg(
@@ -84,7 +85,7 @@ def outliers(df: DataFrame, group: str, value: str, reach: float = 1.5) -> DataF
     counts = count_values(df.filter(F.col(group).isNotNull()), value, [group])
     stored = store_histogram(counts, value, [group])
     fences = _fences(histogram_quantiles(stored, value, QUARTILES, [group]), [group], reach)
-    fences = broadcast_if_small(fences.select(group, "low_fence", "high_fence"))
+    fences = write_scratch(fences.select(group, "low_fence", "high_fence"), "fences")
     return join_on(df, fences, [group], na_matches=False).filter(_beyond(value)).select(*df.columns)
 
 

@@ -50,12 +50,14 @@ def attempts_by_transport(log: DataFrame, transport: str) -> DataFrame:
     return value_counts(log, transport, "attempts")
 
 
-def packet_lengths(log: DataFrame, attack: str, length: str, width: float) -> dict[str, DataFrame]:
-    """Boxplot summary and histogram of the packet length per attack type."""
-    return {
-        "summary": box_summary(log, attack, length),
-        "histogram": histogram(log.filter(F.col(attack).isNotNull()), length, width, [attack]),
-    }
+def packet_length_summary(log: DataFrame, attack: str, length: str) -> DataFrame:
+    """Boxplot summary of the packet length per attack type."""
+    return box_summary(log, attack, length)
+
+
+def packet_length_histogram(log: DataFrame, attack: str, length: str, width: float) -> DataFrame:
+    """Packets per attack type and bin of the packet length."""
+    return histogram(log.filter(F.col(attack).isNotNull()), length, width, [attack])
 
 
 def _scores(counts: DataFrame, keys: Sequence[str], count: str) -> DataFrame:

@@ -76,8 +76,3 @@ def drop_scratch(spark: SparkSession) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(
         f"{scratch_root(spark).rstrip('/')}/tallywork/{spark.sparkContext.applicationId}")
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def fits_in_rows(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows

@@ -251,6 +251,5 @@ def test_volumes(spark):
     assert rows(network.detection_by_period(df, F.col("m"), F.col("ioc"), "month")) == [(1, 1, 1), (2, 0, 1), (3, 1, 0)]
     assert rows(network.shares_by(df, "attack"), True) == [("DDoS", 75.0), ("Malware", 25.0)]
     assert rows(network.attempts_by_transport(df, "attack"), True) == [("DDoS", 3), ("Malware", 1)]
-    lengths = network.packet_lengths(df, "attack", "m", 2.0)
-    assert rows(lengths["histogram"]) == [("DDoS", 0, 0.0, 1), ("DDoS", 1, 2.0, 2), ("Malware", 0, 0.0, 1)]
-    assert rows(lengths["summary"].select("attack", "median")) == [("DDoS", 2.0), ("Malware", 1.0)]
+    assert rows(network.packet_length_histogram(df, "attack", "m", 2.0)) == [("DDoS", 0, 0.0, 1), ("DDoS", 1, 2.0, 2), ("Malware", 0, 0.0, 1)]
+    assert rows(network.packet_length_summary(df, "attack", "m").select("attack", "median")) == [("DDoS", 2.0), ("Malware", 1.0)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tallywork.catalog import QUERIES
 from tallywork.operators.numbering import PART, renumber, store_in_order
-from tallywork.session import drop_scratch, fits_in_rows, scratch_root, write_scratch
+from tallywork.session import drop_scratch, scratch_root, write_scratch
 
 FOLDER = "/root/testdata/sf0.001"
 # one of each kind of plan: joins, completion, shares, distinct, quantiles, numbering, scores, windows in time
@@ -89,7 +89,7 @@ def test_a_repeated_order_value_is_split(spark):
 
 def test_scratch(spark):
     kept = write_scratch(spark.range(5), "five")
-    assert kept.count() == 5 and fits_in_rows(kept, 5) and not fits_in_rows(kept, 4)
+    assert kept.count() == 5
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
     drop_scratch(spark)
     with pytest.raises(Exception, match="(?i)not exist|not found"):

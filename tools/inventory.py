@@ -58,7 +58,7 @@ FUNCTIONS = {
     "R9": "plans.launches.launch_questions, launch_sql",
     "D1": "plans.network.counts_per_period, busiest_periods", "D2": "plans.network.detection_by_period",
     "D3": "plans.network.shares_by", "D4": "plans.network.shares_by", "D5": "plans.network.attempts_by_transport",
-    "D6": "plans.network.packet_lengths", "D7": "plans.network.traffic_spikes", "D8": "plans.network.credential_stuffing",
+    "D6": "plans.network.packet_length_summary, packet_length_histogram", "D7": "plans.network.traffic_spikes", "D8": "plans.network.credential_stuffing",
     "D9": "plans.network.unusual_access", "D10": "plans.network.monthly_trend", "D11": "streaming.monitor",
     "D12": "plans.fitness.minutes_by_weekday_and_type", "D13": "plans.fitness.steps_by_weekday", "D14": "plans.fitness.top_hours",
 }
