@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tallywork.catalog.inputs import CARS, GAPS, cars, gaps
 from tallywork.catalog.registry import Tables, longs, query, rounded
 from tallywork.operators import ml as M
-from tallywork.session import write_scratch
 
 _IDS = "l_orderkey, l_partkey, l_suppkey, l_linenumber::BIGINT AS l_linenumber"
 FEATURES = ["l_quantity", "l_discount", "l_tax", "p_retailprice", "p_size"]
@@ -38,7 +37,7 @@ def house_rows(t: Tables):
     joined = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
     rows = joined.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
                          *[F.col(c).cast("double").alias(c) for c in FEATURES])
-    return write_scratch(rows, "features")  # fitting and scoring pass over them several times
+    return M.stage_features(rows)
 
 
 def document_rows(t: Tables):
@@ -48,7 +47,7 @@ def document_rows(t: Tables):
         "doc_id", F.col("quality").cast("double").alias("quality"), F.col("n_chars").cast("double").alias("n_chars"),
         *[(F.col("lang") == lang).cast("double").alias(f"is_{lang}") for lang in ("en", "fr", "de")],
         F.substring("source", 4, 3).cast("double").alias("source_no"))
-    return write_scratch(rows, "features")
+    return M.stage_features(rows)
 
 
 DOC_FEATURES = ["n_chars", "is_en", "is_fr", "is_de", "source_no"]
@@ -149,7 +148,7 @@ def _(t: Tables):
     {_sums('x1', 'x2', 'y', 'xs')}
     SELECT round((b1 * s1y + b2 * s2y) / syy, 6) AS r2 FROM slopes""")
 def _(t: Tables):
-    df = write_scratch(cars(t).select("Price", "Advertising_Expenditure"), "features")
+    df = M.stage_features(cars(t).select("Price", "Advertising_Expenditure"))
     model = M.regression_pipeline(["Price"], "Advertising_Expenditure", degree=2).fit(df)
     return rounded(M.r2_score(M.predict(model, df), "Advertising_Expenditure"), 6)
 

@@ -12,6 +12,8 @@ from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywork.session import write_scratch
+
 FEATURES = "features"
 
 
@@ -48,6 +50,11 @@ def polynomial_features(df: DataFrame, features: Sequence[str], degree: int = 2,
     return expanded.withColumn(out, vector_to_array("__expanded")).drop("__vector", "__expanded")
 
 
+def stage_features(df: DataFrame, label: str = "features") -> DataFrame:
+    """Write the prepared rows once, in even pieces: fitting and scoring pass over them repeatedly."""
+    return write_scratch(df.hint("rebalance"), label)
+
+
 def in_test_part(row_id: Sequence[str], fraction: float, seed: int) -> Column:
     """Whether a row belongs to the test part: decided by its id alone, whatever the partitioning."""
     return F.pmod(F.xxhash64(*row_id, F.lit(seed)), F.lit(1_000_000)) < F.lit(round(fraction * 1_000_000))
