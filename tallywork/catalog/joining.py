@@ -117,10 +117,10 @@ def _(t: Tables):
 @query("weekday_means_completed", "J4 O2 A2", """
     WITH levels AS (SELECT unnest(['Sunday', 'Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday']) AS weekday),
          means AS (SELECT user_id, event_type, dayname(ts) AS weekday, avg(value) AS value FROM events GROUP BY ALL)
-    SELECT user_id, event_type, weekday, round(value, 4) AS value
+    SELECT user_id, event_type, weekday, round(value, 8) AS value
     FROM (SELECT DISTINCT user_id, event_type FROM means) CROSS JOIN levels
     LEFT JOIN means USING (user_id, event_type, weekday)""")
 def _(t: Tables):
     keys = ["user_id", "event_type"]
     means = group_mean(t.events.withColumn("weekday", day_name(F.col("ts"))), [*keys, "weekday"], "value")
-    return rounded(complete_categories(means, keys, "weekday", WEEKDAYS_FROM_SUNDAY), 4)
+    return rounded(complete_categories(means, keys, "weekday", WEEKDAYS_FROM_SUNDAY), 8)
