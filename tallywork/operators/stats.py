@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from tallywork.operators.quantiles import (
 )
 from tallywork.session import write_scratch
 
+# executors get this module's functions with the task and need no copy of the package
+register_pickle_by_value(sys.modules[__name__])
+
 _FENCES = dict(zip(QUARTILES, ("q1", "median", "q3"), strict=True))
 
 

@@ -6,14 +6,20 @@ many or large tables never has to fit a column layout.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# executors get this module's functions with the task and need no copy of the package
+register_pickle_by_value(sys.modules[__name__])
+
+
 class _Cells(HTMLParser):
     """Collects (table, row, column, is_header, text) of every cell, tables numbered as they open."""
 

@@ -113,3 +113,19 @@ def test_html_tables(spark):
     listed = {(r[0], r[1]): (r[2], r[3]) for r in extract_html_tables(pages(spark), "html", "page_id", 0).collect()}
     assert listed[2, 0] == (True, ["Date", "Revenue"]) and listed[3, 0] == (False, ["first"])
     assert rows(table_headers(pages(spark), "html", "page_id", 0)) == [(2, 0, "Date"), (2, 1, "Revenue")]
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from tallywork.operators import stats
+    from tallywork.sources import html_tables
+
+    tasks = [html_tables._cells, stats._replicate_sums(["k"], 10)]
+    (tmp_path / "task").write_bytes(cloudpickle.dumps(tasks))
+    code = "import pickle; f, g = pickle.load(open('task', 'rb')); print(f('<table><tr><td>x'), next(g(iter([])), 'none'))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin"})
+    assert out.stdout.strip() == "[(0, 0, 0, False, 'x')] none", out.stderr
