@@ -61,8 +61,8 @@ def encode_text(encoding, text: str) -> list[int]:
     return [i for piece in safe_pieces(text) for i in encoding.encode_ordinary(piece)]
 
 
-def encode_pages(pages: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """(page_id, ids, n_tokens) for each row of ``pages(page_id, html)``.
+def encode_pages(pages: DataFrame, ranks: str, pattern: str, *keep: str) -> DataFrame:
+    """(page_id, the columns ``keep``, ids, n_tokens) for each row of ``pages(page_id, html)``.
 
     ``ranks`` is the path of the rank file, the same on every worker; ``pattern`` splits the text before merging.
     Special tokens are not known: their strings are ordinary text. ``ids`` holds little-endian unsigned 32-bit
@@ -75,7 +75,7 @@ def encode_pages(pages: DataFrame, ranks: str, pattern: str) -> DataFrame:
         for texts in batches:
             yield pd.Series([np.array(encode_text(encoding, t), "<u4").tobytes() for t in texts], dtype=object)
 
-    encoded = page_texts(pages).select("page_id", encode("html").alias("ids"))
+    encoded = page_texts(pages, *(c for c in keep if c != "html")).select("page_id", *keep, encode("html").alias("ids"))
     return encoded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 

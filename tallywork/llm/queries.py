@@ -11,7 +11,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.llm import byte_bpe, fingerprints, quality_rules, token_files, warc
+from tallywork.llm import (
+    boilerplate, byte_bpe, fingerprints, license_scan, mixing, near_duplicates, quality_model, quality_rules, token_files, warc,
+)
 from tallywork.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +54,204 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+_OP2_SQL = r"""
+WITH base AS (
+  SELECT doc_id, source, coalesce(text, '') AS text FROM documents
+), lines AS (
+  SELECT doc_id, source, place, parts[place] AS raw, trim(parts[place], ' ' || chr(9) || chr(13)) AS line
+  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS place FROM base)
+), spread AS (
+  SELECT line, count(DISTINCT source) AS sites, min((doc_id, place)) AS first FROM lines WHERE line <> '' GROUP BY line
+), marked AS (
+  SELECT l.doc_id, l.place, l.raw,
+         coalesce(l.line <> '' AND s.sites >= 10 AND (l.doc_id, l.place) <> s.first, false) AS gone
+  FROM lines l LEFT JOIN spread s ON l.line = s.line AND l.line <> ''
+)
+SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text,
+       count(*) FILTER (WHERE gone) AS n_removed
+FROM marked GROUP BY doc_id
+"""
+
+
+@query("op2_line_dedup", _OP2_SQL)
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    pages = as_pages(table(spark, folder, "documents"), F.col("source").alias("site"))
+    return boilerplate.remove_boilerplate(pages).select(
+        F.col("page_id").alias("doc_id"), F.col("html").alias("text"), "n_removed")
+
+
+_OP3_SQL = r"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, md5(coalesce(text, '')) AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), texts AS (
+  SELECT t, any_value(w) AS w FROM base GROUP BY t
+), sh AS (
+  SELECT DISTINCT t, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT t, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM texts WHERE len(w) > 0)
+), n AS (
+  SELECT t, count(*) AS n FROM sh GROUP BY t
+), shared AS (
+  SELECT a.t AS x, b.t AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.t <> b.t GROUP BY 1, 2
+), link AS (
+  SELECT x, y FROM shared JOIN n nx ON nx.t = x JOIN n ny ON ny.t = y WHERE 5 * k >= 4 * (nx.n + ny.n - k)
+  UNION ALL
+  SELECT a.t, b.t FROM texts a JOIN texts b ON a.t <> b.t AND len(a.w) = 0 AND len(b.w) = 0
+), reach AS (
+  SELECT t AS x, t AS y FROM texts UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x
+), ids AS (
+  SELECT t, min(doc_id) AS doc_id FROM base GROUP BY t
+), class AS (
+  SELECT x, min(doc_id) AS class_id FROM reach JOIN ids ON ids.t = reach.y GROUP BY x
+), counted AS (
+  SELECT x, count(*) AS n_links FROM link GROUP BY x
+)
+SELECT base.doc_id, class_id, coalesce(n_links, 0) AS n_links
+FROM base JOIN class ON class.x = base.t LEFT JOIN counted ON counted.x = base.t
+"""
+
+
+@query("op3_near_duplicates", _OP3_SQL)
+def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    classes = near_duplicates.near_duplicates(as_pages(table(spark, folder, "documents")))
+    return as_documents(classes).select("doc_id", "class_id", "n_links")
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Rows that no label may be learned from: a fifth, by the id's checksum."""
+    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+
+
+def documents_network(spark: SparkSession, folder: str) -> quality_model.Network:
+    labels = table(spark, folder, "labels").filter(~held_out()).select(F.col("doc_id").alias("page_id"), "quality")
+    return quality_model.fit_quality(as_pages(table(spark, folder, "documents")), labels)
+
+
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    scored = quality_model.score_pages(as_pages(table(spark, folder, "documents")), documents_network(spark, folder))
+    return as_documents(scored).select(
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+_OP6_SENTENCE = "trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))"
+_OP6_NAME = "CASE " + " ".join(
+    f"WHEN regexp_matches(z, '\\b{p}\\b') THEN '{i}'" for i, p in license_scan.SENTENCES) + " ELSE 'unknown' END"
+
+
+def _op6_sequence() -> str:
+    sequence = "seq"
+    for licence, pattern in license_scan.RULES:
+        # the pattern starts after "," or ">", which the twin keeps as a group, as its engine can't look behind
+        sequence = f"regexp_replace({sequence}, '([,>]){pattern}', '\\1<{licence}>', 'g')"
+    return sequence
+
+
+_OP6_SQL = rf"""
+WITH base AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), sentence AS (
+  SELECT rid, i, parts[i] AS s FROM (
+    SELECT rid, parts, unnest(range(1, len(parts) + 1)) AS i FROM (
+      SELECT rid, string_split(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([.!?;:]) ', '\1' || chr(10), 'g'), chr(10)) AS parts
+      FROM base))
+), named AS (
+  SELECT rid, i, {_OP6_NAME} AS name FROM (
+    SELECT rid, i, {_OP6_SENTENCE} AS z FROM sentence WHERE regexp_matches(s, '(?i){license_scan.HINTS}'))
+), sequences AS (
+  SELECT rid, coalesce(',' || string_agg(name, ',' ORDER BY i) FILTER (WHERE name <> 'unknown') || ',', '') AS seq,
+         count(*) FILTER (WHERE name <> 'unknown') AS n_known, count(*) FILTER (WHERE name = 'unknown') AS n_unknown
+  FROM named GROUP BY rid
+), found AS (
+  SELECT rid, n_known, n_unknown, regexp_extract_all({_op6_sequence()}, '<([^>]*)>', 1) AS l FROM sequences
+), once AS (
+  SELECT rid, string_agg(x, ' ' ORDER BY nr) AS licenses FROM (
+    SELECT rid, x, min(nr) AS nr FROM (SELECT rid, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS nr FROM found) GROUP BY rid, x) GROUP BY rid
+)
+SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n_known, 0) AS n_known, coalesce(n_unknown, 0) AS n_unknown
+FROM base LEFT JOIN found USING (rid) LEFT JOIN once USING (rid)
+"""
+
+
+@query("op6_license_scan", _OP6_SQL)
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    scanned = license_scan.scan_licenses(as_pages(table(spark, folder, "documents")))
+    return as_documents(scanned).select("doc_id", F.array_join("licenses", " ").alias("licenses"), "n_known", "n_unknown")
+
+
+#: Domains of the given tables, which have none of their own: by the number in a source's name.
+DOMAINS = ("web", "books", "forums")
+MIX_LEVELS = ("domain", "lang", "source")
+MIX_WEIGHTS = ({"web": 5, "books": 3, "forums": 2}, {"en": 4, "de": 2, "fr": 2, "es": 2}, {})
+MIX_EPOCHS = 2
+
+
+def with_domain(documents: DataFrame) -> DataFrame:
+    number = F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) AS bigint) % 3")
+    domain = F.when(number == 0, DOMAINS[0]).when(number == 1, DOMAINS[1]).when(number == 2, DOMAINS[2])
+    return documents.withColumns({"domain": domain, "n_words": mixing.word_count(F.col("text"))})
+
+
+def mix_documents(documents: DataFrame) -> DataFrame:
+    """As many words as there are, shared out anew by domain, language and source, in up to two epochs; with ``epoch``."""
+    return mixing.mix_to_weights(
+        with_domain(documents), MIX_LEVELS, MIX_WEIGHTS, ["doc_id"], "n_words", share=(1, 1), max_epochs=MIX_EPOCHS, seed=1)
+
+
+def _op7_shared(level: str, parent: str, key: str, weight: str) -> str:
+    """A level's budgets from those of the level above, as in ``mixing.share_out``."""
+    by = f"PARTITION BY {parent}" if parent else ""
+    ahead = f"OVER ({by} ORDER BY CAST(cap AS DOUBLE) / w NULLS FIRST, {key} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    columns = f"{parent}, {key}" if parent else key
+    return f"""
+{level}_a AS (
+  SELECT *, coalesce(sum(w) {ahead}, 0) AS w_ahead, coalesce(sum(cap) {ahead}, 0) AS c_ahead, sum(w) OVER ({by}) AS w_all
+  FROM (SELECT n.*, {weight} AS w FROM {level}_n n)
+), {level}_b AS (
+  SELECT *, cap * (w_all - w_ahead) <= (top - c_ahead) * w AS filled FROM {level}_a
+), {level}_c AS (
+  SELECT *, coalesce(sum(CASE WHEN filled THEN cap END) OVER ({by}), 0) AS c_full,
+         w_all - coalesce(sum(CASE WHEN filled THEN w END) OVER ({by}), 0) AS w_open FROM {level}_b
+), {level} AS (
+  SELECT {columns}, CASE WHEN filled THEN cap ELSE ((top - c_full) * w) // nullif(w_open, 0) END AS budget FROM {level}_c
+)"""
+
+
+_OP7_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, lang, source, CASE try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 3
+           WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'forums' END AS domain,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), leaf AS (
+  SELECT domain, lang, source, CAST(sum(size) AS HUGEINT) AS size FROM d GROUP BY ALL
+), l1_n AS (
+  SELECT domain, sum(size * 2) AS cap, (SELECT sum(size) FROM leaf) AS top FROM leaf GROUP BY ALL
+), {_op7_shared("l1", "", "domain", "CASE domain WHEN 'web' THEN 5 WHEN 'books' THEN 3 WHEN 'forums' THEN 2 ELSE 1 END")}
+, l2_n AS (
+  SELECT domain, lang, sum(size * 2) AS cap, any_value(budget) AS top FROM leaf JOIN l1 USING (domain) GROUP BY ALL
+), {_op7_shared("l2", "domain", "lang", "CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END")}
+, l3_n AS (
+  SELECT domain, lang, source, sum(size * 2) AS cap, any_value(budget) AS top FROM leaf JOIN l2 USING (domain, lang) GROUP BY ALL
+), {_op7_shared("l3", "domain, lang", "source", "1")}
+, plan AS (
+  SELECT domain, lang, source, budget // size AS whole, budget % size AS rest FROM l3 JOIN leaf USING (domain, lang, source)
+), drawn AS (
+  SELECT d.*, whole, rest, md5('1|' || (whole + 1) || '|' || doc_id) AS draw FROM d JOIN plan USING (domain, lang, source)
+), run AS (
+  SELECT *, sum(size) OVER (PARTITION BY domain, lang, source ORDER BY draw) AS reached FROM drawn
+), times AS (
+  SELECT doc_id, domain, lang, source, size, whole + CASE WHEN rest > 0 AND reached - size < rest THEN 1 ELSE 0 END AS n FROM run
+)
+SELECT doc_id, domain, lang, source, CAST(size AS BIGINT) AS n_words, CAST(unnest(range(1, CAST(n AS BIGINT) + 1)) AS BIGINT) AS epoch FROM times
+"""
+
+
+@query("op7_mixing", _OP7_SQL)
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_documents(table(spark, folder, "documents")).select(
+        "doc_id", *MIX_LEVELS, "n_words", F.col("epoch").cast("long").alias("epoch"))
+
+
 @query("op5_byte_bpe")
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     rules = BYTE_BPE, public_tokenizers.PATTERN
