@@ -110,6 +110,7 @@ def fingerprint(text_columns: Sequence[str], samples: int = SAMPLES) -> Column:
     def signed(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         sampler = Sampler(samples)
         for columns in batches:
+            columns = columns if isinstance(columns, tuple) else (columns,)  # one column comes bare
             rows, out = list(zip(*columns, strict=True)), []
             for some in shingles.slices(rows):
                 sets = [np.unique(shingles.shingle_hashes(t or ""), return_counts=True) for row in some for t in row]

@@ -65,7 +65,7 @@ RULES = (
 )
 
 #: A sentence without any of these can't be a licence sentence.
-HINTS = "licen[cs]e|copyright|redistribut|permission|rights reserved|public domain|under cc|creative commons|as.is|liable|of the gnu"
+HINTS = "licen[cs]e|copyright|redistribut|permission|rights reserved|public domain|under cc|creative commons|as.is|liable|of the gnu|endorse|warrant"
 UNKNOWN = "unknown"
 
 SENTENCE_END = r"(?<=[.!?;:])\s+"
