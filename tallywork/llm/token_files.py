@@ -14,12 +14,16 @@ int64 end of each page's ids within the file.
 from __future__ import annotations
 
 import json
+import os
+import re
+import string
 import sys
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +36,13 @@ register_pickle_by_value(sys.modules[__name__])
 
 MAGIC = b"DACODES1"
 RANK_BLOCK = 512
-CACHED_CHARACTERS = 1 << 23
+CACHED_WORDS = 1 << 18  # with their ids some 50 MB
+WORDS_AT_ONCE = 64
+#: White space to spaces and ASCII letters to lower case, byte by byte.
+PLAIN = bytes.maketrans(b"\t\n\r" + string.ascii_uppercase.encode(), b"   " + string.ascii_lowercase.encode())
+STOP = re.compile(rb"(?<=[a-z])([.,])(?= |$)")
+#: Letters of ASCII and of U+00C0 to U+00FF, in UTF-8.
+LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 class TokenFile:
@@ -137,31 +147,58 @@ def _moved(head, by: int):
 
 
 class WordEncoder:
-    """Ids of texts whose tokenizer drops white space and treats what lies between apart.
+    """Ids of UTF-8 texts whose tokenizer drops white space, ignores case and marks the end of every piece.
 
-    A word met before isn't encoded again. Equal to encoding the whole text at once: normalisation (composition,
-    lower case by character) and splitting never look across a space.
+    Equal to encoding the whole text at once: normalisation (composition, lower case by character) never looks across a
+    space, and a full stop or comma between a letter and a space is a piece of its own. A word met before isn't encoded
+    again; new words of Latin letters are encoded WORDS_AT_ONCE in one text, any other word by itself.
     """
 
     def __init__(self, tokenizer_path: str, end_id: int) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_piece = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_piece[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {"": b""}
-        self.characters = 0
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if self.characters > CACHED_CHARACTERS:
-            self.known, self.characters = {"": b""}, 0
-        new = list({w for ws in words for w in ws}.difference(self.known))
-        for word, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(encoding.ids, "<u4").tobytes()
-        self.characters += sum(map(len, new))
-        known = self.known
-        return [b"".join([known[w] for w in ws]) + self.end for ws in words]
+        self.words: dict[bytes, bytes] = {b"": b""}
+
+    def _alone(self, words: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        self.words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, found, strict=True))
+
+    def _together(self, words: list[bytes]) -> None:
+        """Words of letters, many in one text; should a text not have an end for each word, its words one by one."""
+        groups = [words[i:i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
+        found = self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, found, strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = 4 * (np.flatnonzero(self.ends_piece[ids]) + 1)
+            if len(cuts) == len(group):
+                raw, cuts = ids.tobytes(), [0, *cuts.tolist()]
+                self.words.update(zip(group, (raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+            else:
+                self._alone(group)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.words) > CACHED_WORDS:
+            self.words = {b"": b""}
+        split = [STOP.sub(rb" \1", t.translate(PLAIN)).split(b" ") for t in texts]
+        new = set()
+        for words in split:
+            new.update(words)
+        new = new.difference(self.words)
+        letters, other = [], []
+        for word in new:
+            (letters if LATIN.fullmatch(word) else other).append(word)
+        for learn, some in ((self._together, letters), (self._alone, other)):
+            for i in range(0, len(some), 1024):
+                learn(some[i:i + 1024])
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, words)) + self.end for words in split]
 
 
 def _file_system(folder: str):
@@ -188,10 +225,10 @@ def write_token_files(
     tasks that succeeded: a lost or repeated task leaves a file that nobody reads. ``first_token`` is the number
     of ids in all files before.
     """
-    rows = page_texts(pages).withColumn("text_hash", F.xxhash64("html"))
+    rows = page_texts(pages).withColumns({"page_id": F.col("page_id").cast("long"), "text_hash": F.xxhash64("html")})
     ordered = rows.repartitionByRange("page_id", "text_hash").sortWithinPartitions("page_id", "text_hash")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, place = TaskContext.get().partitionId(), 0
@@ -200,32 +237,35 @@ def write_token_files(
         page_ids: list[int | None] = []
         ends: list[int] = []
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal place
-            name = f"{folder}/part-{part:06d}-{place:06d}-{uuid.uuid4().hex}.dac"
+            name = f"part-{part:06d}-{place:06d}-{uuid.uuid4().hex}.dac"
             system.create_dir(root, recursive=True)
-            with system.open_output_stream(f"{root}/{name.rpartition('/')[2]}") as out:
+            with system.open_output_stream(f"{root}/{name}") as out:
                 out.write(token_file_bytes(np.frombuffer(b"".join(held), "<u4"), page_ids, ends))
-            row = pd.DataFrame({"path": [name], "part": [part], "place": [place], "n_pages": [len(ends)], "n_tokens": [ends[-1]]})
+            row = pa.record_batch([
+                pa.array([f"{folder}/{name}"]), pa.array([part], pa.int32()), pa.array([place], pa.int32()),
+                pa.array([len(ends)], pa.int64()), pa.array([ends[-1]], pa.int64())], ["path", "part", "place", "n_pages", "n_tokens"])
             place += 1
             for x in (held, page_ids, ends):
                 x.clear()
             return row
 
         for batch in batches:
-            ids, texts = [None if pd.isna(p) else int(p) for p in batch["page_id"]], list(batch["html"])
-            for i in range(0, len(texts), 256):
-                for page_id, encoded in zip(ids[i:i + 256], encoder.encode(texts[i:i + 256]), strict=True):
-                    held.append(encoded)
+            for i in range(0, batch.num_rows, 64):
+                some = batch.slice(i, 64)
+                encoded = encoder.encode(some.column("html").to_pylist())
+                for page_id, ids in zip(some.column("page_id").to_pylist(), encoded, strict=True):
+                    held.append(ids)
                     page_ids.append(page_id)
-                    ends.append((ends[-1] if ends else 0) + len(encoded) // 4)
+                    ends.append((ends[-1] if ends else 0) + len(ids) // 4)
                     if ends[-1] >= tokens_a_file:
                         yield flush()
         if ends:
             yield flush()
 
     listed = write_scratch(
-        ordered.mapInPandas(write, "path string, part int, place int, n_pages long, n_tokens long"), "token_files")
+        ordered.select("page_id", F.encode("html", "utf-8").alias("html")).mapInArrow(write, "path string, part int, place int, n_pages long, n_tokens long"), "token_files")
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     parts = listed.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens")).select(  # a row a task
         "part", F.coalesce(F.sum("part_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
