@@ -32,23 +32,56 @@ def _(t: Tables):
 @query("multi_file_scan", "S2", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def _(t: Tables):
     paths = []
-    for status in ("F", "O", "P"):
-        paths.append(scratch_path(t.spark, f"csv-{status}"))
-        part = t.orders.filter(F.col("o_orderstatus") == status)
+    for third in range(3):
+        paths.append(scratch_path(t.spark, f"csv-{third}"))
+        part = t.orders.filter(F.coalesce(F.pmod("o_orderkey", F.lit(3)), F.lit(0)) == third)
         S.write_csv(part.select("o_orderkey", "o_orderstatus", "o_totalprice"), paths[-1])
     return S.read_many(t.spark, paths, "o_orderkey long, o_orderstatus string, o_totalprice double")
 
 
 @query("multi_file_scan_drifting", "S2 U1", """
-    SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS o_orderpriority FROM orders""")
+    SELECT o_orderkey, CASE WHEN o_orderstatus IS DISTINCT FROM 'F' THEN o_orderpriority END AS o_orderpriority FROM orders""")
 def _(t: Tables):
     old, new = scratch_path(t.spark, "csv-old"), scratch_path(t.spark, "csv-new")
-    S.write_csv(t.orders.filter("o_orderstatus = 'F'").select("o_orderkey"), old)
-    S.write_csv(t.orders.filter("o_orderstatus <> 'F'").select("o_orderpriority", "o_orderkey"), new)
+    S.write_csv(t.orders.filter("o_orderstatus <=> 'F'").select("o_orderkey"), old)
+    S.write_csv(t.orders.filter("NOT o_orderstatus <=> 'F'").select("o_orderpriority", "o_orderkey"), new)
     read = S.read_many(t.spark, [old, new])
     return read.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderpriority")
 
 
+@query("csv_columns_by_name", "S1", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+def _(t: Tables):
+    """The file has more columns, in another order, than the schema asks for."""
+    path = scratch_path(t.spark, "csv")
+    S.write_csv(t.orders.select("o_orderpriority", "o_orderstatus", "o_custkey", "o_orderkey", "o_totalprice"), path)
+    return S.read_table(t.spark, path, "o_orderkey long, o_totalprice double, o_orderstatus string")
+
+
+@query("multi_file_columns_by_name", "S2", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def _(t: Tables):
+    """Each file has its own order of columns."""
+    orders = [["o_orderkey", "o_custkey", "o_totalprice"], ["o_totalprice", "o_orderstatus", "o_orderkey", "o_custkey"]]
+    paths = []
+    for half, columns in enumerate(orders):
+        paths.append(scratch_path(t.spark, f"csv-{half}"))
+        S.write_csv(t.orders.filter(F.coalesce(F.pmod("o_orderkey", F.lit(2)), F.lit(0)) == half).select(*columns), paths[-1])
+    return S.read_many(t.spark, paths, "o_orderkey long, o_custkey long, o_totalprice double")
+
+
+@query("json_array_records", "S3 H12", """
+    SELECT event_id, user_id AS who_user, event_type AS who_type FROM events""")
+def _(t: Tables):
+    """Files that hold one JSON array each, of ten thousand records at most."""
+    path = scratch_path(t.spark, "json-array")
+    record = F.to_json(F.struct("event_id", F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("type")).alias("who")))
+    # an array has to be parsed whole, by one task
+    arrays = t.events.groupBy(F.floor(F.col("event_id") / 10_000).alias("file")).agg(F.concat(
+        F.lit("[\n"), F.array_join(F.collect_list(record), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.write.partitionBy("file").text(path)
+    schema = "event_id long, who struct<user: long, type: string>"
+    return S.read_json_records(t.spark, f"{path}/*", schema)
+
+
 @query("json_records", "S3 H12", """
     SELECT event_id, user_id AS who_user, event_type AS who_type, value FROM events""")
 def _(t: Tables):

@@ -21,7 +21,10 @@ register_pickle_by_value(sys.modules[__name__])
 
 
 class _Cells(HTMLParser):
-    """Collects (table, row, column, is_header, text) of every cell, tables numbered as they open."""
+    """Collects (table, row, column, is_header, text) of every cell, tables numbered as they open.
+
+    A cell that spans rows or columns is given for each place that it covers, as a table reader would fill it in.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -33,12 +36,21 @@ class _Cells(HTMLParser):
         table = self.stack[-1]
         if table["text"] is not None:
             text = " ".join("".join(table["text"]).split())
-            self.cells.append((table["no"], table["row"], table["col"], table["header"], text))
+            columns, rows = table["span"]
+            for row in range(table["row"], table["row"] + rows):
+                for col in range(table["col"], table["col"] + columns):
+                    table["taken"][row, col] = table["header"], text
             table["text"] = None
 
+    def _close_table(self) -> None:
+        self._close_cell()
+        table = self.stack.pop()
+        # a span may reach beyond the last row of the table; such places don't exist
+        self.cells += [(table["no"], row, col, *cell) for (row, col), cell in sorted(table["taken"].items()) if row <= table["row"]]
+
     def handle_starttag(self, tag, attrs) -> None:
         if tag == "table":
-            self.stack.append({"no": self.tables, "row": -1, "col": -1, "header": False, "text": None})
+            self.stack.append({"no": self.tables, "row": -1, "col": -1, "header": False, "text": None, "span": (1, 1), "taken": {}})
             self.tables += 1
         elif self.stack and tag == "tr":
             self._close_cell()
@@ -46,7 +58,10 @@ class _Cells(HTMLParser):
         elif self.stack and tag in ("td", "th"):
             self._close_cell()
             table = self.stack[-1]
-            table.update(row=max(table["row"], 0), col=table["col"] + 1, header=tag == "th", text=[])
+            row, col = max(table["row"], 0), table["col"] + 1
+            while (row, col) in table["taken"]:
+                col += 1
+            table.update(row=row, col=col, header=tag == "th", text=[], span=(_span(attrs, "colspan", 1000), _span(attrs, "rowspan", 65534)))
         elif self.stack and tag == "br":
             self.handle_data(" ")
 
@@ -56,8 +71,7 @@ class _Cells(HTMLParser):
         if tag in ("td", "th", "tr"):
             self._close_cell()
         elif tag == "table":
-            self._close_cell()
-            self.stack.pop()
+            self._close_table()
 
     def handle_data(self, data) -> None:
         if self.stack and self.stack[-1]["text"] is not None:
@@ -66,11 +80,16 @@ class _Cells(HTMLParser):
     def finish(self) -> list[tuple[int, int, int, bool, str]]:
         self.close()
         while self.stack:  # broken markup: tables that never close
-            self._close_cell()
-            self.stack.pop()
+            self._close_table()
         return self.cells
 
 
+def _span(attrs: list[tuple[str, str | None]], name: str, most: int) -> int:
+    """A span attribute; broken ones are 1. The upper bounds are those of the HTML standard."""
+    value = (dict(attrs).get(name) or "1").strip()
+    return min(max(int(value), 1), most) if value.isascii() and value.isdigit() else 1
+
+
 def _cells(html: str | None) -> list[tuple[int, int, int, bool, str]]:
     if not html:
         return []
@@ -84,10 +103,12 @@ def html_cells(pages: DataFrame, html: str, page_id: str) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(page, *cell) for page, source in zip(batch[page_id], batch[html], strict=True)
-                    for cell in _cells(source)]
-            yield pd.DataFrame(
-                rows, columns=[page_id, "table_no", "row_no", "col_no", "is_header", "text"])
+            for page, source in zip(batch[page_id], batch[html], strict=True):
+                cells = _cells(source)
+                for at in range(0, len(cells), 4096):  # a page at a time, a large one in slices
+                    yield pd.DataFrame(
+                        [(page, *cell) for cell in cells[at:at + 4096]],
+                        columns=[page_id, "table_no", "row_no", "col_no", "is_header", "text"])
 
     kind = pages.schema[page_id].dataType.simpleString()
     # pages without any table never cross into Python
@@ -125,3 +146,24 @@ def table_headers(pages: DataFrame, html: str, page_id: str, table_index: int) -
     return cells.filter(
         (F.col("table_no") == table_index) & (F.col("row_no") == 0) & F.col("is_header")
     ).select(page_id, "col_no", "text")
+
+
+def named_table(pages: DataFrame, html: str, page_id: str, table_index: int) -> DataFrame:
+    """(page_id, row_no, entries) of the ``table_index``-th table of every page, named by its header row.
+
+    ``entries`` maps the header's texts to the row's cells; of columns of one name the last counts, and a column without
+    a name is called by its number. Tables without a header row are left out.
+    """
+    cells = html_cells(pages, html, page_id).filter(F.col("table_no") == table_index)
+    names = cells.filter((F.col("row_no") == 0) & F.col("is_header")).groupBy(page_id).agg(  # the columns of one table
+        F.map_from_entries(F.collect_list(F.struct("col_no", "text"))).alias("names"))
+    rows = cells.filter(F.col("row_no") > 0).groupBy(page_id, "row_no").agg(
+        F.array_sort(F.collect_list(F.struct("col_no", "text"))).alias("row"))
+    named = rows.join(names, page_id)
+    number = F.col("names")
+
+    def entry(so_far, cell):
+        name = F.coalesce(F.nullif(F.try_element_at(number, cell["col_no"]), F.lit("")), cell["col_no"].cast("string"))
+        return F.map_concat(F.map_filter(so_far, lambda k, _: k != name), F.create_map(name, cell["text"]))
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return named.select(page_id, "row_no", F.aggregate("row", empty, entry).alias("entries"))

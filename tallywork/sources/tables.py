@@ -22,16 +22,51 @@ def read_table(
 ) -> DataFrame:
     """Read one table, NaN turned into NULL.
 
-    Without ``schema`` the types of a CSV are inferred, which costs one more pass over the files.
+    Without ``schema`` the types of a CSV are inferred, which costs one more pass over the files. With it
+    the columns of a CSV are bound by the names in its header, in whatever order the file has them, and
+    the others aren't parsed; see :func:`read_csv`.
     """
+    if fmt == "csv" and schema is not None:
+        return read_csv(spark, [path] if isinstance(path, str) else list(path), schema, **options)
     reader = spark.read.options(**options)
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True).option("inferSchema", schema is None)
+        reader = reader.option("header", True).option("inferSchema", True)
     return nulls_for_nans(reader.format(fmt).load(path if isinstance(path, str) else list(path)))
 
 
+def read_csv(
+    spark: SparkSession, paths: Sequence[str], schema: str | T.StructType, malformed: str = "fail", **options
+) -> DataFrame:
+    """The columns of ``schema`` from CSV files or folders with a header, bound by name.
+
+    A column that a header doesn't have is an error, and so is a file within a folder whose header differs from
+    the folder's first. Paths whose headers differ are read apart and stacked by name; those that agree
+    are one scan. ``malformed`` says what becomes of a record whose cells don't fit their types: "fail" stops the
+    read, "null" makes the cells NULL, any other word names a column that receives the record's text.
+    """
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    types = {f.name: f for f in wanted.fields}
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:  # reads one line of each path
+        header = tuple(spark.read.options(**options).option("header", True).csv(path).columns)
+        absent = [name for name in types if name not in header]
+        if absent:
+            raise ValueError(f"{path} has no column {', '.join(absent)}; its header is {', '.join(header)}")
+        by_header.setdefault(header, []).append(path)
+    reader = spark.read.options(**options).option("header", True).option("enforceSchema", False)
+    reader = reader.option("mode", "FAILFAST" if malformed == "fail" else "PERMISSIVE")
+    record = [] if malformed in ("fail", "null") else [T.StructField(malformed, T.StringType())]
+    if record:
+        reader = reader.option("columnNameOfCorruptRecord", malformed)
+    parts = []
+    for header, same in by_header.items():
+        full = T.StructType([types.get(name, T.StructField(name, T.StringType())) for name in header] + record)
+        parts.append(reader.schema(full).csv(same).select(*types, *(f.name for f in record)))
+    return nulls_for_nans(union_all(parts) if len(parts) > 1 else parts[0])
+
+
 def read_many(
     spark: SparkSession,
     paths: Sequence[str],
@@ -41,8 +76,8 @@ def read_many(
 ) -> DataFrame:
     """Read and stack several files.
 
-    Files of one ``schema`` are a single scan. Without it every file keeps its own columns and the
-    files are stacked by name, missing columns NULL.
+    Files of one ``schema`` and header are a single scan. Without a schema every file keeps its own columns
+    and the files are stacked by name, missing columns NULL.
     """
     if schema is not None:
         return read_table(spark, paths, schema, fmt, **options)

@@ -6,7 +6,7 @@ import pytest
 from conftest import day, rows
 from tallywork import schemas
 from tallywork.sources import tables as S
-from tallywork.sources.html_tables import extract_html_tables, html_cells, table_headers
+from tallywork.sources.html_tables import extract_html_tables, html_cells, named_table, table_headers
 
 
 def write(path, text):
@@ -23,6 +23,42 @@ def test_read_table(spark, tmp_path):
     assert rows(S.read_table(spark, f"{tmp_path}/p", fmt="parquet")) == rows(df)
 
 
+TRIPS = """ride_id,rideable_type,started_at,ended_at,start_station_name,start_lat,member_casual
+r1,classic_bike,2023-01-02 10:00:00,2023-01-02 10:20:00,Clark St,41.9,member
+"""
+DAYS = """Id,ActivityDate,TotalSteps,TotalDistance,VeryActiveMinutes,FairlyActiveMinutes,LightlyActiveMinutes,SedentaryMinutes,Calories
+15,4/12/2016,13162,8.5,25,13,328,728,1985
+"""
+
+
+def test_columns_are_bound_by_name(spark, tmp_path):
+    ride = S.read_table(spark, write(tmp_path / "trips.csv", TRIPS), schemas.RIDES).collect()[0]
+    assert ride["member_casual"] == "member" and ride["ended_at"] - ride["started_at"] == datetime.timedelta(minutes=20)
+    daily = S.read_table(spark, write(tmp_path / "days.csv", DAYS), schemas.DAILY_ACTIVITY)
+    assert rows(daily) == [(15, "4/12/2016", 13162, 13, 328, 728, 25, 1985)]
+    with pytest.raises(ValueError, match="no column"):
+        S.read_table(spark, write(tmp_path / "short.csv", "ride_id\nr1\n"), schemas.RIDES)
+
+
+def test_files_of_different_headers(spark, tmp_path):
+    one, two = write(tmp_path / "1.csv", "a,b,z\n1,x,9\n"), write(tmp_path / "2.csv", "b,a\ny,2\n")
+    assert rows(S.read_many(spark, [one, two], "a int, b string")) == [(1, "x"), (2, "y")]
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    write(folder / "1.csv", "a,b\n1,x\n")
+    write(folder / "2.csv", "b,a\ny,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        S.read_table(spark, str(folder), "a int, b string").collect()
+
+
+def test_malformed_cells(spark, tmp_path):
+    path = write(tmp_path / "m.csv", "a,b\n1,x\nnone,y\n")
+    with pytest.raises(Exception):
+        S.read_table(spark, path, "a int, b string").collect()
+    assert rows(S.read_table(spark, path, "a int, b string", malformed="null")) == [(None, "y"), (1, "x")]
+    assert rows(S.read_table(spark, path, "a int, b string", malformed="bad").select("a", "bad")) == [(None, "none,y"), (1, None)]
+
+
 def test_read_many_is_one_scan_or_a_union_by_name(spark, tmp_path):
     one = write(tmp_path / "1.csv", "a,b\n1,x\n")
     two = write(tmp_path / "2.csv", "a,b\n2,y\n")
@@ -115,6 +151,17 @@ def test_html_tables(spark):
     assert rows(table_headers(pages(spark), "html", "page_id", 0)) == [(2, 0, "Date"), (2, 1, "Revenue")]
 
 
+def test_spans_and_header_names(spark):
+    html = ("<table><tr><th>Date<th>Revenue<th><th>Revenue</tr><tr><td rowspan=2>x</td><td>1</td><td colspan='2'>2</td></tr>"
+            "<tr><td>3</td><td>4</td></tr><tr><td rowspan=99>end</td><td colspan=bad>5</td></tr></table>")
+    df = spark.createDataFrame([(1, html), (2, "<table><tr><td>no header</td></tr></table>")], "page_id int, html string")
+    got = {(r["row_no"], r["col_no"]): r["text"] for r in html_cells(df.filter("page_id = 1"), "html", "page_id").collect()}
+    assert [got.get((1, c)) for c in range(4)] == ["x", "1", "2", "2"] and [got.get((2, c)) for c in range(3)] == ["x", "3", "4"]
+    assert got[3, 0] == "end" and (4, 0) not in got
+    named = {r["row_no"]: r["entries"] for r in named_table(df, "html", "page_id", 0).collect()}
+    assert named == {1: {"Date": "x", "2": "2", "Revenue": "2"}, 2: {"Date": "x", "Revenue": "3", "2": "4"}, 3: {"Date": "end", "Revenue": "5"}}
+
+
 def test_executors_need_no_copy_of_the_package(tmp_path):
     import subprocess
     import sys
