@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +25,9 @@ SETTINGS = {
 }
 
 
+SCRATCH_SETTING = "tallywork.scratch.dir"
+
+
 def build_session(app_name: str = "tallywork", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings above; ``conf`` takes dotted names with ``__`` for the dot.
 
@@ -41,16 +47,17 @@ def build_session(app_name: str = "tallywork", master: str | None = None, **conf
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master, where every task sees
-    the driver's disk, may fall back to a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``; :data:`SCRATCH_SETTING` may name another for this
+    library alone. Only a master within one process, where every task sees the driver's disk, may fall
+    back to a temporary folder, which is then remembered in that setting.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get(SCRATCH_SETTING, None) or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="tallywork-")
-    spark.conf.set("spark.checkpoint.dir", root)
+    spark.conf.set(SCRATCH_SETTING, root)
     return root
 
 
@@ -76,3 +83,23 @@ def drop_scratch(spark: SparkSession) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(
         f"{scratch_root(spark).rstrip('/')}/tallywork/{spark.sparkContext.applicationId}")
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A job's scratch area: what is written within the block, and is needed no longer, goes at its end.
+
+    Results must be written or shown inside the block. Only the folder of this block is deleted.
+    """
+    outer = spark.conf.get(SCRATCH_SETTING, None)
+    folder = f"{scratch_root(spark).rstrip('/')}/tallywork-{uuid.uuid4().hex}"
+    spark.conf.set(SCRATCH_SETTING, folder)
+    try:
+        yield
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if outer is None:
+            spark.conf.unset(SCRATCH_SETTING)
+        else:
+            spark.conf.set(SCRATCH_SETTING, outer)
