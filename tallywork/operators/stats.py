@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator, Sequence
 from itertools import combinations_with_replacement
@@ -102,82 +103,106 @@ def histogram(df: DataFrame, value: str, width: float, keys: Sequence[str] = (),
     return counts.select(*keys, "bin", (F.col("bin") * F.lit(width) + F.lit(start)).alias("bin_start"), "count")
 
 
-# Poisson(1) distribution over 16-bit draws: a draw at or above the k-th step weighs at least k
-_POISSON_STEPS = np.round(np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 8)])) * 65536)
-_POISSON_STEPS = _POISSON_STEPS[_POISSON_STEPS < 65536].astype("uint16")
+_LADDER = 16  # a count is the sum of its binary digits up to here, and of pieces of 2 ** _LADDER
 
 
-def _weights(row_hash: np.ndarray, first: int, count: int) -> np.ndarray:
-    """Poisson(1) weights of each row for replicates ``first`` ... ``first + count``.
+def _poisson_steps(mean: int) -> tuple[int, np.ndarray]:
+    """(first, steps): a 32-bit draw at or above k of the steps weighs ``first + k`` in a Poisson(mean) distribution."""
+    reach = int(12 * mean ** 0.5) + 16
+    first = max(0, mean - reach)
+    k = np.arange(first, mean + reach)
+    logs = k * np.log(mean) - mean - np.array([math.lgamma(i + 1.0) for i in k])
+    return first, np.minimum(np.round(np.cumsum(np.exp(logs)) * 2.0 ** 32), 2.0 ** 32).astype("uint64")
 
-    A pure function of the row's hash and the replicate: splitmix64 gives four draws a step.
-    """
-    steps = np.arange(first // 4, (first + count + 3) // 4, dtype="uint64") + np.uint64(1)
-    z = row_hash[:, None] + steps[None, :] * np.uint64(0x9E3779B97F4A7C15)
+
+def _draws(row_hash: np.ndarray, piece: int, first: int, count: int) -> np.ndarray:
+    """32-bit draws of each row for replicates ``first`` ... ``first + count``: splitmix64 of (row, piece, replicate)."""
+    steps = np.arange(first // 2, (first + count + 1) // 2, dtype="uint64") + np.uint64(1)
+    z = (row_hash ^ np.uint64(piece * 0xD1342543DE82EF95 % 2 ** 64))[:, None] + steps[None, :] * np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     z ^= z >> np.uint64(31)
-    draws = z.view("uint16")[:, :count]
-    weight = np.zeros(draws.shape, "uint8")
-    for step in _POISSON_STEPS:
-        weight += draws >= step
-    return weight
-
-
-_DRAWN_ONE_BY_ONE = 8
+    return z.view("uint32")[:, first % 2:first % 2 + count]
 
 
 def _cell_weights(row_hash: np.ndarray, count: np.ndarray, first: int, replicates: int) -> np.ndarray:
     """Poisson(count) weights: what ``count`` equal rows with Poisson(1) weights add up to.
 
-    Small counts add single draws for all cells at once; a large count draws from its own generator,
-    seeded by cell and replicate block.
+    A sum of Poisson draws is a Poisson draw, so every binary digit of a count adds one draw of that mean, for all
+    cells at once, whatever their counts. A pure function of the cell's hash and the replicate.
     """
-    weight = _weights(row_hash, first, replicates).astype("float64")
-    small = count <= _DRAWN_ONE_BY_ONE
-    for extra in range(1, int(count[small].max(initial=1))):
-        more = small & (count > extra)
-        weight[more] += _weights(row_hash[more] ^ np.uint64(extra << 32), first, replicates)
-    for i in np.flatnonzero(~small):
-        weight[i] = np.random.Generator(np.random.Philox(key=[row_hash[i], first])).poisson(count[i], replicates)
+    weight = np.zeros((count.size, replicates))
+    for digit in range(_LADDER + 1):
+        times = count >> digit if digit == _LADDER else count >> digit & 1
+        if not times.any():
+            continue
+        low, steps = _poisson_steps(1 << digit)
+        for time in range(int(times.max())):
+            rows = np.flatnonzero(times > time)
+            drawn = _draws(row_hash[rows], 1 + digit + (time << 6), first, replicates)
+            weight[rows] += low + np.searchsorted(steps, drawn, side="right")
     return weight
 
 
-def _sum_by_group(weight: np.ndarray, value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(weighted sums, weights) per run of rows and replicate."""
-    if len(value) < 16 * len(starts):
-        return np.add.reduceat(weight * value[:, None], starts, axis=0), np.add.reduceat(weight, starts, axis=0)
-    both = np.stack([value, np.ones_like(value)])
-    ends = [*starts[1:], len(value)]
-    sums = np.stack([both[:, i:j] @ weight[i:j] for i, j in zip(starts, ends, strict=True)])
-    return sums[:, 0], sums[:, 1]
+def _replicate_sums(keys: list[str], n_boot: int, block: int = 200, rows: int = 1024):
+    """Rows sorted by ``keys`` to (keys, sums, sizes), one row for each group that a task meets.
+
+    The last group of a batch is carried on to the next, so only whole runs of a group are given out.
+    """
 
+    def add_up(part: pd.DataFrame, code: np.ndarray, groups: int) -> np.ndarray:
+        value = part["__value"].to_numpy("float64")
+        row_hash = part["__hash"].to_numpy("int64").view("uint64")
+        cells = part["__count"].to_numpy("int64")
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        out = np.zeros((groups, 2, n_boot))
+        for first in range(0, n_boot, block):
+            last = min(first + block, n_boot)
+            weight = _cell_weights(row_hash, cells, first, last - first)
+            out[code[starts], 1, first:last] = np.add.reduceat(weight, starts, axis=0)
+            out[code[starts], 0, first:last] = np.add.reduceat(weight * value[:, None], starts, axis=0)
+        return out
 
-def _replicate_sums(keys: list[str], n_boot: int, block: int = 200):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, held_key = None, None
+
+        def given(names: pd.DataFrame, sums: np.ndarray) -> pd.DataFrame:
+            out = names.reset_index(drop=True).copy()
+            out["__sum"], out["__size"] = list(sums[:, 0]), list(sums[:, 1])
+            return out
+
         for batch in batches:
-            if batch.empty:
-                continue
-            code = batch.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
-            order = np.argsort(code, kind="stable")
-            batch, code = batch.iloc[order], code[order]
-            starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-            groups = batch[keys].iloc[starts].reset_index(drop=True)
-            value = batch["__value"].to_numpy("float64")
-            row_hash = batch["__hash"].to_numpy("int64").view("uint64")
-            cells = batch["__count"].to_numpy("int64")
-            for first in range(0, n_boot, block):
-                count = min(block, n_boot - first)
-                weight = _cell_weights(row_hash, cells, first, count)
-                sums, sizes = _sum_by_group(weight, value, starts)
-                out = groups.loc[groups.index.repeat(count)].reset_index(drop=True)
-                out["__rep"] = np.tile(np.arange(first, first + count, dtype="int32"), len(groups))
-                out["__sum"] = sums.ravel()
-                out["__size"] = sizes.ravel()
-                yield out
+            for at in range(0, len(batch), rows):
+                part = batch.iloc[at:at + rows].reset_index(drop=True)
+                changed = (part[keys].ne(part[keys].shift()) & ~(part[keys].isna() & part[keys].shift().isna())).any(axis=1).to_numpy()
+                changed[0] = False
+                code = np.cumsum(changed)
+                names = part[keys].iloc[np.flatnonzero(np.r_[True, changed[1:]])]
+                sums = add_up(part, code, int(code[-1]) + 1)
+                if held is not None:
+                    if held_key.iloc[0].equals(names.iloc[0]):
+                        sums[0] += held[0]
+                    else:
+                        yield given(held_key, held)
+                if len(names) > 1:
+                    yield given(names.iloc[:-1], sums[:-1])
+                held, held_key = sums[-1:], names.iloc[-1:]
+        if held is not None:
+            yield given(held_key, held)
     return run
 
 
+def _quantile_of(values: Column, share: float) -> Column:
+    """Linear interpolation in an array; missing values are left out."""
+    ordered = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
+
+    def at(v: Column) -> Column:
+        place = (F.size(v) - 1) * F.lit(share)
+        low = F.get(v, F.floor(place).cast("int"))
+        return low + (F.get(v, F.ceil(place).cast("int")) - low) * (place - F.floor(place))
+    return F.element_at(F.transform(F.array(ordered), at), 1)
+
+
 def mean_with_ci(
     df: DataFrame,
     keys: Sequence[str],
@@ -191,8 +216,9 @@ def mean_with_ci(
     Poisson bootstrap: in each replicate every row counts as often as a Poisson(1) weight says.
     Equal values of a group are counted first and weighted together, so repeated values collapse
     before the shuffle. The weights depend on group, value, replicate and ``seed`` alone, hence
-    neither on the partitioning nor on retries. One scan; each batch of cells is reduced to sums
-    per (group, replicate) before the second shuffle.
+    neither on the partitioning nor on retries. The cells are range-partitioned by group and hash: a small group
+    lies in one task, a large one in as many as its size asks for, and each task gives out one pair of
+    arrays of ``n_boot`` sums for each group that it meets.
     """
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull()).na.drop("any", subset=keys)
@@ -200,15 +226,19 @@ def mean_with_ci(
         F.count(F.lit(1)).alias("__count"))
     drawn = cells.withColumn("__hash", F.xxhash64(*keys, "__value", F.lit(seed)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*keys).schema.fields)
-    sums = drawn.mapInPandas(
-        _replicate_sums(keys, n_boot), f"{schema}, __rep int, __sum double, __size double")
-    replicate = sums.groupBy(*keys, "__rep").agg(
-        F.try_divide(F.sum("__sum"), F.sum("__size")).alias("__mean"))
+    spread = drawn.repartitionByRange(*keys, "__hash").sortWithinPartitions(*keys)
+    sums = spread.mapInPandas(_replicate_sums(keys, n_boot), f"{schema}, __sum array<double>, __size array<double>")
+    gathered = sums.groupBy(*keys).agg(  # a row for each task that met the group
+        F.collect_list(F.struct("__sum", "__size")).alias("__parts"))
+
+    def total(name: str) -> Column:
+        zeros = F.array_repeat(F.lit(0.0), n_boot)
+        return F.aggregate("__parts", zeros, lambda so_far, part: F.zip_with(so_far, part[name], lambda x, y: x + y))
+    means_drawn = gathered.select(*keys, total("__sum").alias("__sum"), total("__size").alias("__size")).select(
+        *keys, F.zip_with("__sum", "__size", F.try_divide).alias("__means"))
     tail = (100.0 - level) / 200.0
-    band = replicate.groupBy(*keys).agg(  # n_boot values per group, fixed by the parameter
-        F.percentile("__mean", F.lit(tail)).alias("low"),
-        F.percentile("__mean", F.lit(1.0 - tail)).alias("high"),
-    )
+    band = means_drawn.select(
+        *keys, _quantile_of(F.col("__means"), tail).alias("low"), _quantile_of(F.col("__means"), 1.0 - tail).alias("high"))
     means = cells.groupBy(*keys).agg(
         (F.sum(F.col("__value") * F.col("__count")) / F.sum("__count")).alias("mean"))
     return join_on(means, band, keys, "left", na_matches=False).select(*keys, "mean", "low", "high")

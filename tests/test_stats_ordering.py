@@ -66,9 +66,10 @@ def test_histogram(spark):
 
 
 def test_poisson_weights_have_mean_and_variance_one():
-    weights = S._weights(np.arange(20000, dtype="uint64") * np.uint64(7919), 0, 40).astype(float)
+    cells, one = np.arange(20000, dtype="uint64") * np.uint64(7919), np.ones(20000, "int64")
+    weights = S._cell_weights(cells, one, 0, 40)
     assert abs(weights.mean() - 1) < 0.01 and abs(weights.var() - 1) < 0.02
-    assert np.array_equal(weights[:, 20:24], S._weights(np.arange(20000, dtype="uint64") * np.uint64(7919), 20, 4))
+    assert np.array_equal(weights[:, 20:24], S._cell_weights(cells, one, 20, 4))
     assert abs(np.corrcoef(weights[:, 0], weights[:, 1])[0, 1]) < 0.03
 
 
