@@ -163,7 +163,7 @@ def _(t: Tables):
 @query("feature_importance", "M11")
 def _(t: Tables):
     rows = document_rows(t)
-    model = M.random_forest_fit(rows, DOC_FEATURES, "quality", trees=20, max_depth=5)
+    model = M.random_forest_fit(rows, DOC_FEATURES, "quality", trees=100, max_depth=5)
     return M.feature_importance(model, DOC_FEATURES, rows)
 
 

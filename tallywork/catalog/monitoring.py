@@ -74,7 +74,10 @@ def _(t: Tables):
 
 @query("traffic_spikes", "D7", f"""
     WITH {LOG}, c AS (SELECT attack_type, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, count(*) AS count FROM log GROUP BY ALL),
-    s AS (SELECT attack_type, avg(count) AS mean, stddev_pop(count) AS deviation FROM c GROUP BY ALL)
+    n AS (SELECT date_diff('hour', min(bucket), max(bucket)) + 1 AS buckets FROM c),
+    s AS (SELECT attack_type, sum(count) / any_value(buckets) AS mean,
+                 sqrt(greatest(sum(count * count) / any_value(buckets) - pow(sum(count) / any_value(buckets), 2), 0)) AS deviation
+          FROM c CROSS JOIN n GROUP BY ALL)
     SELECT attack_type, bucket, count, round(mean, 4) AS mean, round(deviation, 4) AS deviation,
            round((count - mean) / nullif(deviation, 0), 4) AS z
     FROM c JOIN s USING (attack_type) WHERE (count - mean) / nullif(deviation, 0) > 1.5""")
@@ -168,14 +171,15 @@ def _(t: Tables):
 
 
 @query("stream_suspects", "D11 D8", """
-    WITH steps AS (SELECT unnest(range(6)) AS i, time_bucket(INTERVAL 1 HOUR, ts) AS hour, user_id FROM events),
-    w AS (SELECT hour - i * INTERVAL 1 HOUR AS window_start, user_id, count(*) AS attempts FROM steps GROUP BY ALL)
-    SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, user_id, attempts FROM w
-    WHERE attempts >= 4 AND window_start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
+    WITH steps AS (SELECT unnest(range(6)) AS i, time_bucket(INTERVAL 1 HOUR, ts) AS hour, user_id, event_type FROM events),
+    w AS (SELECT hour - i * INTERVAL 1 HOUR AS window_start, user_id, count(*) AS attempts, count(DISTINCT event_type) AS sources
+          FROM steps GROUP BY ALL)
+    SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, user_id, attempts, sources FROM w
+    WHERE attempts >= 4 AND sources >= 3 AND window_start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
 def _(t: Tables):
     suspects = monitor.sliding_suspects(_event_stream(t), "ts", "user_id", "event_type", "6 hours", "1 hour",
-                                        "2 hours", min_attempts=4, min_sources=1)
-    return _zone_free(monitor.run_available(suspects.drop("sources"), "suspects"))
+                                        "2 hours", min_attempts=4, min_sources=3)
+    return _zone_free(monitor.run_available(suspects, "suspects"))
 
 
 @query("stream_deduplicated", "D11 A16", "SELECT event_id, ts, event_type FROM events")

@@ -232,7 +232,7 @@ def launch_records(t: Tables):
         F.collect_list(line).alias("cores"), F.collect_list(F.col("l_partkey").cast("string")).alias("payloads"),
         F.min("l_suppkey").cast("string").alias("launchpad"))
     orders = t.orders.select(
-        "o_orderkey", F.col("o_custkey").cast("string").alias("rocket"), F.col("o_orderkey").cast("int").alias("flight_number"),
+        "o_orderkey", F.col("o_custkey").cast("string").alias("rocket"), F.col("o_orderkey").alias("flight_number"),
         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("date_utc"))
     records = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).drop("o_orderkey", "l_orderkey")
     path = scratch_path(t.spark, "launches")

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywork.session import write_scratch
+
 _SALT = "__salt"
 
 
@@ -34,11 +36,6 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
     return counts.filter(F.col("__n") > share * total).select(*keys)
 
 
-def _own_salt(df: DataFrame, salts: int) -> Column:
-    # depends on the row's content only, so that a retried task draws it again
-    return F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
-
-
 def merge_inner(
     left: DataFrame,
     right: DataFrame,
@@ -52,8 +49,12 @@ def merge_inner(
 
     Missing keys match each other unless ``na_matches`` is off. Skew is adaptive execution's task
     by default. With ``hot_share`` the keys holding more than that share of the left rows are
-    spread over ``salts`` tasks: each left row of such a key draws a salt from its own content and
-    the right rows of such a key are repeated once per salt. No row is lost or invented.
+    spread over ``salts`` tasks: each left row of such a key takes a salt from its place in the left table, which
+    is written first, so that equal rows are spread as well and a retried task finds the same places; the
+    right rows of such a key are repeated once per salt. No row is lost or invented.
+
+    Rows whose keys are missing match each other as any equal keys do, so many of them on both sides make a product
+    of their numbers; turn ``na_matches`` off where missing means unknown.
     """
     keys = list(keys)
     shared = [c for c in left.columns if c in right.columns and c not in keys]
@@ -62,11 +63,13 @@ def merge_inner(
     columns = keys + [c for c in left.columns + right.columns if c not in keys]
     if hot_share is None:
         return join_on(left, right, keys, "inner", na_matches).select(*columns)
+    left = write_scratch(left, "merge")
     # at most 1/hot_share rows, so the parameter bounds this broadcast
     hot = F.broadcast(hot_keys(left, keys, hot_share).withColumn("__hot", F.lit(True)))
-    own = F.when(F.col("__hot"), _own_salt(left, salts)).otherwise(F.lit(0))
+    own = F.when(F.col("__hot"), F.col("__place")).otherwise(F.lit(0))
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = join_on(left, hot, keys, "left").withColumn(_SALT, own).drop("__hot")
+    left = join_on(left.withColumn("__place", place), hot, keys, "left").withColumn(_SALT, own).drop("__hot", "__place")
     right = join_on(right, hot, keys, "left").withColumn(_SALT, F.explode(every)).drop("__hot")
     return join_on(left, right, [*keys, _SALT], "inner", na_matches).select(*columns)
 

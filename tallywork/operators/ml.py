@@ -132,9 +132,13 @@ def r2_score(df: DataFrame, label: str, prediction: str = "prediction", out: str
 
 
 def random_forest_fit(
-    df: DataFrame, features: Sequence[str], label: str, trees: int = 100, seed: int = 42, max_depth: int = 8
+    df: DataFrame, features: Sequence[str], label: str, trees: int = 100, seed: int = 42, *, max_depth: int
 ) -> RandomForestClassificationModel:
-    """A forest of ``trees`` trees on binned features, grown level by level over all executors."""
+    """A forest of ``trees`` trees on binned features, grown level by level over all executors.
+
+    ``max_depth`` bounds the cost: each level is one more pass over the rows, and a tree of depth d has up to 2 ** d leaves.
+    Spark allows up to 30; the caller has to choose.
+    """
     forest = RandomForestClassifier(
         featuresCol=FEATURES, labelCol=label, numTrees=trees, seed=seed, maxDepth=max_depth)
     return forest.fit(assemble(df.select(*features, label), features))

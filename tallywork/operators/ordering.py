@@ -15,10 +15,19 @@ Order = Sequence[str | Column]
 
 
 def sort(df: DataFrame, cols: str | Sequence[str], descending: bool = False) -> DataFrame:
-    """Global sort with missing values last in either direction."""
+    """Global sort with missing values last in either direction.
+
+    Ties are ordered by a hash of the row's content: the order is the same in every run, and the rows of a much
+    repeated value can be dealt out to several tasks. Only rows that are equal throughout stay together.
+    """
     names = [cols] if isinstance(cols, str) else cols
     key = F.desc_nulls_last if descending else F.asc_nulls_last
-    return df.orderBy(*[key(c) for c in names])
+    return df.orderBy(*[key(c) for c in names], _content(df))
+
+
+def _content(df: DataFrame) -> Column:
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain])
 
 
 def level_position(col: str, levels: Sequence[str]) -> Column:
@@ -28,9 +37,9 @@ def level_position(col: str, levels: Sequence[str]) -> Column:
 
 
 def sort_by_levels(df: DataFrame, col: str, levels: Sequence[str], then: Sequence[str] = ()) -> DataFrame:
-    """Sort by a custom order of values, kept as the column ``<col>_order``."""
+    """Sort by a custom order of values, kept as the column ``<col>_order``; ties as in :func:`sort`."""
     ordered = df.withColumn(f"{col}_order", level_position(col, levels))
-    return ordered.orderBy(F.asc_nulls_last(f"{col}_order"), *then)
+    return ordered.orderBy(F.asc_nulls_last(f"{col}_order"), *then, _content(df))
 
 
 def _sort_columns(order: Order) -> list[Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywork.operators.aggregates import (
-    mean_of_sums, partial_sums, shares_of_rows, sum_of_sums, total_where,
+    group_mean, mean_of_sums, partial_sums, shares_of_rows, sum_of_sums, total_where,
 )
 from tallywork.operators.filters import filter_compare
 from tallywork.operators.stats import mean_with_ci
@@ -18,7 +18,7 @@ RECESSION = "Recession Period Statistics"
 SALES, ADS, TYPE = "Automobile_Sales", "Advertising_Expenditure", "Vehicle_Type"
 
 
-PERIOD_KEYS = ["Year", "Month", "Recession", "unemployment_rate", TYPE]
+PERIOD_KEYS = ["Year", "Month", "Recession", TYPE]
 
 
 def in_recession(cars: DataFrame, flag: int = 1) -> DataFrame:
@@ -42,7 +42,8 @@ def recession_report(cars: DataFrame, staged: bool = True) -> dict[str, DataFram
         "sales_by_year": mean_of_sums(rec, "Year", SALES),
         "sales_by_type": mean_of_sums(rec, TYPE, SALES),
         "ads_by_type": _ads_by_type(rec),
-        "sales_by_unemployment": mean_of_sums(rec, ["unemployment_rate", TYPE], SALES),
+        # a rate may have many values: grouped by itself, it doesn't swell the sums that the others share
+        "sales_by_unemployment": group_mean(in_recession(cars), ["unemployment_rate", TYPE], SALES),
     }
 
 

@@ -18,6 +18,7 @@ from tallywork.operators.joins import merge_all
 from tallywork.operators.ordering import head, level_position, sort_by_levels
 from tallywork.operators.profiles import duplicate_count, n_distinct
 from tallywork.operators.sets import drop_duplicate_rows
+from tallywork.session import write_scratch
 from tallywork.sources.tables import write_csv
 
 MINUTE_COLUMNS = ["fairlyactiveminutes", "lightlyactiveminutes", "sedentaryminutes", "veryactiveminutes"]
@@ -54,8 +55,8 @@ def merge_hourly(tables: Sequence[DataFrame]) -> DataFrame:
 def activity_cleaning(
     daily: DataFrame, sleep: DataFrame, weight: DataFrame, hourly: Sequence[DataFrame]
 ) -> dict[str, DataFrame]:
-    """The three cleaned tables and the checks made on the way."""
-    merged = merge_hourly(hourly)
+    """The three cleaned tables and the checks made on the way. The hourly merge is written once for all that use it."""
+    merged = write_scratch(merge_hourly(hourly), "hourly")
     tables = {"daily_activity": clean_daily_activity(daily), "daily_sleep": clean_sleep(sleep),
               "hourly_activity": merged}
     checks = {

@@ -70,11 +70,19 @@ def _scores(counts: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
 def traffic_spikes(log: DataFrame, ts: str, key: str, width: str = "1 hour", k: float = 3.0) -> DataFrame:
     """Time buckets whose count lies more than ``k`` deviations above the key's own mean bucket.
 
-    A key with a constant rate has no deviation and no spike.
+    Mean and deviation are over all buckets from the log's first to its last, those without an event of the key as 0;
+    they follow from the totals, so no empty row is made. A key with a constant rate has no deviation and no spike.
     """
     counts = log.groupBy(key, F.window(ts, width).alias("w")).agg(F.count(F.lit(1)).alias("count"))
     counts = counts.select(key, F.col("w.start").alias("bucket"), "count")
-    return _scores(counts, [key], "count").filter(F.col("z") > k)
+    seconds = F.unix_micros(F.max("bucket").cast("timestamp")) - F.unix_micros(F.min("bucket").cast("timestamp"))
+    span = counts.agg((seconds / (pd.Timedelta(width).total_seconds() * 1e6) + 1).alias("n")).scalar()
+    own = counts.groupBy(key).agg(F.sum("count").alias("total"), F.sum(F.col("count") * F.col("count")).alias("squares"))
+    mean = F.col("total") / span
+    spread = F.sqrt(F.greatest(F.col("squares") / span - mean * mean, F.lit(0.0)))
+    scored = join_on(counts, own.select(key, mean.alias("mean"), spread.alias("deviation")), [key])
+    z = (F.col("count") - F.col("mean")) / F.nullif(F.col("deviation"), F.lit(0.0))
+    return scored.withColumn("z", z).filter(F.col("z") > k)
 
 
 def credential_stuffing(

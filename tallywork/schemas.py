@@ -28,7 +28,7 @@ LAUNCHES = """rocket string, payloads array<string>, launchpad string,
               cores array<struct<core: string, flight: int, gridfins: boolean, legs: boolean,
                                  reused: boolean, landing_success: boolean, landing_type: string,
                                  landpad: string>>,
-              flight_number int, date_utc string"""
+              flight_number long, date_utc string"""
 ROCKETS = "id string, name string"
 LAUNCHPADS = "id string, name string, longitude double, latitude double"
 PAYLOADS = "id string, mass_kg double, orbit string"

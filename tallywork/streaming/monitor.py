@@ -51,10 +51,13 @@ def sliding_suspects(
 ) -> DataFrame:
     """Accounts with many attempts from many sources within one sliding window.
 
-    Streams refuse exact distinct counts, so the number of sources is approximate.
+    Streams refuse distinct counts. Attempts are counted per window, account and source first, and these counts
+    per window and account then, so that the number of sources is exact; a missing source isn't counted as one.
+    State is a row for each source of an account and window until the watermark has passed it.
     """
-    counts = with_event_time(stream, ts, delay).groupBy(F.window(ts, width, slide), account).agg(
-        F.count(F.lit(1)).alias("attempts"), F.approx_count_distinct(source).alias("sources"))
+    window = F.window(ts, width, slide).alias("window")
+    per_source = with_event_time(stream, ts, delay).groupBy(window, account, source).agg(F.count(F.lit(1)).alias("n"))
+    counts = per_source.groupBy("window", account).agg(F.sum("n").alias("attempts"), F.count(source).alias("sources"))
     suspects = counts.filter((F.col("attempts") >= min_attempts) & (F.col("sources") >= min_sources))
     return suspects.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),

@@ -183,16 +183,12 @@ LAUNCHED = [
     (day("2017-03-21"), "KSC", 5500.0, "SES", "F9 B5", "Success (drone ship)", None),
     (None, "CCAFS", 1.0, "NASA (CRS)", "F9 v1.1", "Success (drone ship)", "Success"),
 ]
-ASKED = dict(site_prefix="CCA", customer="NASA (CRS)", booster="F9 v1.1", ground_success="Success (ground pad)",
-             ship_success="Success (drone ship)", ship_failure="Failure (drone ship)", year="2015",
-             lo=day("2010-06-04"), hi=day("2017-03-20"))
-
 
 def test_launch_questions_as_frames_and_as_sql(spark, tmp_path):
     df = spark.createDataFrame(LAUNCHED, schemas.LAUNCH_TABLE)
     table = launches.prepare_launch_table(df, "launch_table", f"{tmp_path}/t")
     assert table.count() == 5
-    answers = launches.launch_questions(df, **ASKED)
+    answers = launches.launch_questions(df)
     want = {
         "sites": [("CCAFS LC-40",), ("KSC",), ("ccafs slc",)],
         "mass_for_customer": [(9000.0,)], "mean_mass_of_booster": [(4500.0,)],
@@ -203,11 +199,22 @@ def test_launch_questions_as_frames_and_as_sql(spark, tmp_path):
         "ranked_outcomes": [("Failure (drone ship)", 1), ("Failure (drone ship) x", 1), ("Success (drone ship)", 1), ("Success (ground pad)", 1)],
     }
     for question, answer in answers.items():
-        asked = launches.launch_sql(spark, question, "launch_table", **ASKED, mass_lo=4000, mass_hi=6000)
+        asked = launches.launch_sql(spark, question, "launch_table")
         assert rows(answer) == rows(asked), question
         if question in want:
             assert rows(answer) == want[question], question
     assert answers["first_at_site"].count() == 2
+    for prefix in ("CC_", "%", "ccafs l"):  # text, not a pattern
+        by_frame = launches.launch_questions(df, site_prefix=prefix)["first_at_site"]
+        assert rows(launches.launch_sql(spark, "first_at_site", "launch_table", site_prefix=prefix)) == rows(by_frame)
+    assert "make_date" not in launches.launch_sql(spark, "ship_failures_of_year", "launch_table")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_silent_buckets_count_as_zero(spark):
+    steady = [(at(60 * h + 5), "steady", "x") for h in range(40)]
+    burst = [(at(60 * 20), "quiet", "x")] * 30  # one loud hour, silent otherwise
+    got = rows(network.traffic_spikes(events(spark, steady + burst), "ts", "account", "1 hour", 3.0))
+    assert [(r[0], r[1], r[2], round(r[3], 4)) for r in got] == [("quiet", at(60 * 20), 30, 0.75)]
 
 
 # --- network ---------------------------------------------------------------------------------
