@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallywork.catalog.inputs import CARS, GAPS, cars, gaps
 from tallywork.catalog.registry import Tables, longs, query, rounded
@@ -33,6 +34,53 @@ def _terms(x1: str, x2: str) -> str:
         UNION ALL SELECT '{x2}', round(b2, 3) FROM slopes"""
 
 
+def held_out(ids: str, fraction: float = 0.2, seed: int = 42) -> str:
+    """The SQL form of ``ml.in_test_part``."""
+    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {ids})), 1, 7))::BIGINT < {round(fraction * 16 ** 7)}"
+
+
+def solve(source: str, xs: list[str], y: str, alpha: float = 0.0, where: str = "true") -> str:
+    """CTEs that regress ``y`` on ``xs`` over rows of ``source``, up to ``coef(b0, b1, ...)`` and ``mids(m0, ..., my)``.
+
+    The columns are centred and made orthogonal one after another; the coefficients follow backwards. A ridge penalty is as
+    many further rows, each holding its root in one column.
+    """
+    n = range(len(xs))
+    mids = ", ".join(f"avg({x}) AS m{i}" for i, x in enumerate(xs))
+    centred = ", ".join(f"{x} - m{i} AS x{i}" for i, x in enumerate(xs))
+    parts = [f"mids AS MATERIALIZED (SELECT {mids}, avg({y}) AS my FROM {source} WHERE {where})"]
+    further = "" if not alpha else "".join(
+        " UNION ALL SELECT " + ", ".join(f"{alpha} ** 0.5" if i == j else "0" for i in n) + ", 0" for j in n)
+    parts.append(f"t0 AS MATERIALIZED (SELECT {centred}, {y} - my AS y FROM {source}, mids WHERE {where}{further})")
+    for j in n:
+        later = [i for i in n if i > j]
+        shares = "".join(f", sum(x{j} * x{i}) / nullif(sum(x{j} * x{j}), 0) AS r{j}_{i}" for i in later)
+        parts.append(f"s{j} AS MATERIALIZED (SELECT sum(x{j} * y) / nullif(sum(x{j} * x{j}), 0) AS g{j}{shares} FROM t{j})")
+        rest = "".join(f"x{i} - r{j}_{i} * x{j} AS x{i}, " for i in later)
+        parts.append(f"t{j + 1} AS MATERIALIZED (SELECT {rest}y - g{j} * x{j} AS y FROM t{j}, s{j})")
+    steps, last = [], "c" + str(len(xs))
+    parts.append(f"{last} AS (SELECT * FROM " + ", ".join(f"s{j}" for j in n) + ")")
+    for j in reversed(n):
+        minus = "".join(f" - r{j}_{i} * b{i}" for i in n if i > j)
+        steps.append(f"c{j} AS MATERIALIZED (SELECT *, g{j}{minus} AS b{j} FROM c{j + 1})")
+    return ", ".join([*parts, *steps, "coef AS (SELECT * FROM c0)"])
+
+
+def fitted_r2(source: str, xs: list[str], y: str, where: str = "true") -> str:
+    """R2 of the solved regression over rows of ``source``."""
+    guess = "my" + "".join(f" + b{i} * ({x} - m{i})" for i, x in enumerate(xs))
+    return f"""SELECT round(1 - sum(pow({y} - ({guess}), 2)) / (var_pop({y}) * count(*)), 6) AS r2
+        FROM {source}, coef, mids WHERE {where}"""
+
+
+HOUSES = """houses AS (
+    SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_discount, l_tax, p_retailprice, p_size::DOUBLE AS p_size
+    FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+HOUSE_IDS = ["l_orderkey", "l_linenumber", "l_partkey"]
+_TEST = held_out(", ".join(HOUSE_IDS), 0.2, 1)
+_PRODUCTS = [f"({a} * {b})" for i, a in enumerate(FEATURES) for b in FEATURES[i:]]
+
+
 def house_rows(t: Tables):
     joined = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
     rows = joined.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
@@ -40,6 +88,10 @@ def house_rows(t: Tables):
     return M.stage_features(rows)
 
 
+def _score(predicted):
+    return rounded(M.r2_score(predicted, "l_extendedprice"), 6)
+
+
 def document_rows(t: Tables):
     docs = t.documents.select("doc_id", "n_chars", "lang", "source")
     joined = t.labels.join(docs, "doc_id")
@@ -88,15 +140,11 @@ def _(t: Tables):
     return expanded.select("c_custkey", *terms)
 
 
-@query("train_test_split", "M4", """
-    SELECT count(*) AS n_rows, 0::BIGINT AS in_both, true AS share_kept FROM orders""")
+@query("train_test_split", "M4", f"""
+    SELECT o_orderkey, CASE WHEN {held_out('o_orderkey', 0.2, 1)} THEN 'test' ELSE 'train' END AS part FROM orders""")
 def _(t: Tables):
     train, test = M.train_test_split(t.orders, "o_orderkey", 0.2, seed=1)
-    parts = train.select("o_orderkey", F.lit(0).alias("part")).union(test.select("o_orderkey", F.lit(1).alias("part")))
-    per_row = parts.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("part"))
-    share = F.avg(F.col("part").cast("double"))
-    return per_row.agg(F.sum("n").alias("n_rows"), F.count_if(F.col("n") > 1).alias("in_both"),
-                       share.between(0.17, 0.23).alias("share_kept"))
+    return train.select("o_orderkey", F.lit("train").alias("part")).union(test.select("o_orderkey", F.lit("test").alias("part")))
 
 
 @query("linear_fit", "M5", f"""
@@ -107,11 +155,12 @@ def _(t: Tables):
     return rounded(M.coefficients(model, features, t.lineitem), 3)
 
 
-@query("linear_fit_many_features", "M5 M7")
+@query("linear_fit_many_features", "M5 M7", f"""
+    WITH {HOUSES}, {solve('houses', FEATURES, 'l_extendedprice')} {fitted_r2('houses', FEATURES, 'l_extendedprice')}""")
 def _(t: Tables):
     rows = house_rows(t)
     model = M.linear_fit(rows, FEATURES, "l_extendedprice")
-    return M.r2_score(M.predict(model, rows, FEATURES), "l_extendedprice")
+    return _score(M.predict(model, rows, FEATURES))
 
 
 @query("ridge_fit", "M6", f"""
@@ -122,18 +171,22 @@ def _(t: Tables):
     return rounded(M.coefficients(model, features, t.lineitem), 3)
 
 
-@query("ridge_on_held_out_rows", "M4 M6 M7")
+@query("ridge_on_held_out_rows", "M4 M6 M7", f"""
+    WITH {HOUSES}, {solve('houses', FEATURES, 'l_extendedprice', 0.1, f'NOT {_TEST}')}
+    {fitted_r2('houses', FEATURES, 'l_extendedprice', _TEST)}""")
 def _(t: Tables):
     train, test = M.train_test_split(house_rows(t), ["l_orderkey", "l_linenumber", "l_partkey"], 0.2, seed=1)
     model = M.ridge_fit(train, FEATURES, "l_extendedprice", alpha=0.1)
-    return M.r2_score(M.predict(model, test, FEATURES), "l_extendedprice")
+    return _score(M.predict(model, test, FEATURES))
 
 
-@query("polynomial_ridge_on_held_out_rows", "M3 M6 M8")
+@query("polynomial_ridge_on_held_out_rows", "M3 M6 M8", f"""
+    WITH {HOUSES}, {solve('houses', [*FEATURES, *_PRODUCTS], 'l_extendedprice', 0.1, f'NOT {_TEST}')}
+    {fitted_r2('houses', [*FEATURES, *_PRODUCTS], 'l_extendedprice', _TEST)}""")
 def _(t: Tables):
     train, test = M.train_test_split(house_rows(t), ["l_orderkey", "l_linenumber", "l_partkey"], 0.2, seed=1)
     pipeline = M.regression_pipeline(FEATURES, "l_extendedprice", degree=2, scale=False, ridge_on=train)
-    return M.r2_score(M.predict(pipeline.fit(train), test), "l_extendedprice")
+    return _score(M.predict(pipeline.fit(train), test))
 
 
 @query("r2_score", "M7", """
@@ -160,6 +213,34 @@ def _(t: Tables):
     return M.classification_report(M.predict(model, test, DOC_FEATURES), "quality")
 
 
+@query("forest_report_facts", "M9 M10", f"""
+    WITH part AS (SELECT quality::DOUBLE::VARCHAR AS cls FROM labels JOIN documents USING (doc_id) WHERE {held_out('doc_id')})
+    SELECT cls AS row, count(*) AS support, true AS sound FROM part GROUP BY cls
+    UNION ALL SELECT name, (SELECT count(*) FROM part), true FROM (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) n(name)""")
+def _(t: Tables):
+    """What any right forest's report says: the rows, their support, scores from 0 to 1, accuracy no less than the majority's share."""
+    train, test = M.train_test_split(document_rows(t), "doc_id", 0.2)
+    model = M.random_forest_fit(train, DOC_FEATURES, "quality", trees=100, max_depth=5)
+    report = M.classification_report(M.predict(model, test, DOC_FEATURES), "quality")
+    majority = report.filter("row NOT LIKE '% avg' AND row <> 'accuracy'").agg(F.max("support")).scalar()
+    fits = F.col("precision").between(0, 1) & F.col("recall").between(0, 1) & F.col("f1").between(0, 1)
+    better = (F.col("row") != "accuracy") | (F.col("precision") >= majority / F.col("support") - 1e-9)
+    return report.select("row", "support", (fits & better).alias("sound"))
+
+
+@query("feature_importance_facts", "M11", """
+    SELECT 5::BIGINT AS features, 1.0::DOUBLE AS total, true AS in_order, count(*) > 0 AS any_rows FROM labels""")
+def _(t: Tables):
+    """What any right forest's importances are: one a feature, none negative, descending, 1 in total."""
+    rows = document_rows(t)
+    model = M.random_forest_fit(rows, DOC_FEATURES, "quality", trees=100, max_depth=5)
+    listed = M.feature_importance(model, DOC_FEATURES, rows).withColumn("place", F.monotonically_increasing_id())
+    after = F.lead("importance").over(Window.orderBy("place"))  # a row a feature
+    return listed.withColumn("next", F.coalesce(after, F.lit(0.0))).agg(
+        F.countDistinct("feature").alias("features"), F.round(F.sum("importance"), 6).alias("total"),
+        F.bool_and(F.col("importance") >= F.col("next")).alias("in_order"), (F.count(F.lit(1)) > 0).alias("any_rows"))
+
+
 @query("feature_importance", "M11")
 def _(t: Tables):
     rows = document_rows(t)

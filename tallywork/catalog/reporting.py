@@ -15,7 +15,7 @@ from tallywork.plans import cars as car_plans
 from tallywork.plans import fitness, launches as launch_plans
 from tallywork.plans import rides as ride_plans
 from tallywork.session import scratch_path
-from tallywork.sources.tables import read_json_records
+from tallywork.sources.tables import read_json_records, read_table
 
 # --- car sales -------------------------------------------------------------------------------
 
@@ -203,6 +203,40 @@ def _(t: Tables):
     return checks["duplicates_sleep"]
 
 
+_CHECKS = {
+    "participants_daily": "SELECT count(DISTINCT user_id) AS n FROM events",
+    "participants_hourly": """SELECT count(DISTINCT user_id) AS n FROM (
+        SELECT user_id, date_trunc('hour', ts) AS hour FROM events GROUP BY ALL
+        HAVING bool_or(event_type <> 'error') AND bool_or(event_type <> 'signup') AND bool_or(event_type <> 'view'))""",
+    "participants_sleep": f"WITH {_NIGHTS} SELECT count(DISTINCT id) AS n FROM recorded",
+    "participants_weight": f"WITH {_NIGHTS} SELECT count(DISTINCT id) AS n FROM recorded",
+    "duplicates_daily": "SELECT 0::BIGINT AS n FROM (SELECT count(*) FROM events)",
+    "duplicates_hourly": "SELECT 0::BIGINT AS n FROM (SELECT count(*) FROM events)",
+    "duplicates_sleep_after": f"WITH {_NIGHTS} SELECT 0::BIGINT AS n FROM (SELECT count(*) FROM recorded)",
+}
+
+
+def _check(t: Tables, name: str):
+    tables = fitness.activity_cleaning(daily_activity(t), sleep_days(t), sleep_days(t), hourly_texts(t))
+    return longs(tables[name].toDF("n"))
+
+
+for _name, _sql in _CHECKS.items():
+    query(f"activity_check_{_name}", "R6 A15 A16", _sql)(lambda t, name=_name: _check(t, name))
+
+
+@query("activity_export", "R6 S7 P17", f"""
+    WITH {_NIGHTS}, kept AS (SELECT DISTINCT id, day, in_bed, asleep FROM recorded)
+    SELECT row_number() OVER (ORDER BY id, day, asleep, in_bed) AS _row, id, asleep, in_bed FROM kept""")
+def _(t: Tables):
+    """The numbered sleep table, read back from the exported CSV."""
+    tables = fitness.activity_cleaning(daily_activity(t), sleep_days(t), sleep_days(t), hourly_texts(t))
+    folder = scratch_path(t.spark, "export")
+    fitness.export_cleaned(tables, folder)
+    back = read_table(t.spark, f"{folder}/daily_sleep", "_row long, id long, totalminutesasleep long, totaltimeinbed long")
+    return back.toDF("_row", "id", "asleep", "in_bed")
+
+
 @query("activity_hourly", "R6 J2 H2", """
     WITH hours AS (SELECT user_id AS id, date_trunc('hour', ts) AS hour, event_type, value FROM events)
     SELECT id, hour AS activityhour, count_if(event_type <> 'error')::BIGINT AS steps,

@@ -57,6 +57,20 @@ def _(t: Tables):
     return rounded(Q.quantiles(t.lineitem, "l_extendedprice", [0.05, 0.5, 0.95], ["l_suppkey"]), 4, "quantile")
 
 
+@query("approximate_quantiles_in_rank", "A19", """
+    SELECT DISTINCT l_returnflag, prob::DOUBLE AS prob, true AS close FROM lineitem, (VALUES (0.25), (0.5), (0.75)) p(prob)""")
+def _(t: Tables):
+    """The sketch keeps its promise: the rank of each value lies within a ten thousandth of the rank asked for, and one row."""
+    found = Q.quantiles(t.lineitem, "l_extendedprice", [0.25, 0.5, 0.75], ["l_returnflag"], approx=True)
+    counted = t.lineitem.select("l_returnflag", "l_extendedprice").join(found, "l_returnflag").groupBy(
+        "l_returnflag", "prob").agg(
+        F.count_if(F.col("l_extendedprice") < F.col("quantile")).alias("below"),
+        F.count_if(F.col("l_extendedprice") <= F.col("quantile")).alias("up_to"), F.count(F.lit(1)).alias("n"))
+    slack = F.col("n") / 10_000 + 1
+    return counted.select("l_returnflag", "prob", (
+        (F.col("below") <= F.col("prob") * F.col("n") + slack) & (F.col("up_to") >= F.col("prob") * F.col("n") - slack)).alias("close"))
+
+
 @query("approximate_quantiles", "A19")
 def _(t: Tables):
     return Q.quantiles(t.lineitem, "l_extendedprice", [0.25, 0.5, 0.75], ["l_returnflag"], approx=True)
@@ -96,6 +110,19 @@ def _(t: Tables):
     return longs(checked)
 
 
+@query("bootstrap_band_fits", "A27", """
+    SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS mean, true AS inside, true AS width FROM lineitem GROUP BY ALL""")
+def _(t: Tables):
+    """The exact mean, and a band around it as wide as the standard error says, within a tenth."""
+    keys = ["l_returnflag", "l_linestatus"]
+    band = S.mean_with_ci(t.lineitem, keys, "l_quantity")
+    error = t.lineitem.groupBy(*keys).agg((F.stddev_samp("l_quantity") / F.sqrt(F.count(F.lit(1)))).alias("se"))
+    width = (F.col("high") - F.col("low")) / (2 * 1.96 * F.col("se"))
+    return band.join(error, keys).select(
+        *keys, F.round("mean", 6).alias("mean"), F.col("mean").between(F.col("low"), F.col("high")).alias("inside"),
+        width.between(0.85, 1.15).alias("width"))
+
+
 @query("bootstrap_band", "A27")
 def _(t: Tables):
     return S.mean_with_ci(t.lineitem, ["l_returnflag", "l_linestatus"], "l_quantity")

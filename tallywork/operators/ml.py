@@ -56,8 +56,13 @@ def stage_features(df: DataFrame, label: str = "features") -> DataFrame:
 
 
 def in_test_part(row_id: Sequence[str], fraction: float, seed: int) -> Column:
-    """Whether a row belongs to the test part: decided by its id alone, whatever the partitioning."""
-    return F.pmod(F.xxhash64(*row_id, F.lit(seed)), F.lit(1_000_000)) < F.lit(round(fraction * 1_000_000))
+    """Whether a row belongs to the test part: decided by its id alone, whatever the partitioning.
+
+    The first seven hexadecimal digits of the MD5 of "seed|id|..." say so, which any other engine can work out too.
+    Missing ids are left out of the text.
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in row_id]))
+    return F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") < F.lit(round(fraction * 16 ** 7))
 
 
 def train_test_split(
