@@ -55,7 +55,7 @@ FUNCTIONS = {
     "R1": "plans.cars.recession_report", "R2": "plans.cars.yearly_report", "R3": "plans.cars.run_report",
     "R4": "plans.cars.recession_comparison", "R5": "plans.rides.ride_usage_report", "R6": "plans.fitness.activity_cleaning, export_cleaned",
     "R7": "plans.launches.collect_launches", "R8": "plans.launches.launch_labelling",
-    "R9": "plans.launches.launch_questions, launch_sql",
+    "R9": "plans.launches.launch_questions, launch_sql; sources.statements.ask",
     "D1": "plans.network.counts_per_period, busiest_periods", "D2": "plans.network.detection_by_period",
     "D3": "plans.network.shares_by", "D4": "plans.network.shares_by", "D5": "plans.network.attempts_by_transport",
     "D6": "plans.network.packet_length_summary, packet_length_histogram", "D7": "plans.network.traffic_spikes", "D8": "plans.network.credential_stuffing",
