@@ -119,9 +119,29 @@ def _(t: Tables):
     return longs(extract_html_tables(_lists_as_tables(t), "html", "page_id", 0, ["entry"]))
 
 
-def _lists_as_tables(t: Tables):
+# Each list as a table whose first cell spans all rows: it takes the first column of every row.
+@query("html_spanning_cells", "S4", """
+    WITH lists AS (
+        SELECT page_id, unnest(l) AS list, unnest(range(len(l))) AS table_no
+        FROM (SELECT page_id, regexp_extract_all(html, '<ul[^>]*>(.*?)</ul>', 1, 's') AS l FROM pages)),
+    items AS (
+        SELECT page_id, table_no, unnest(i) AS item, unnest(range(len(i))) + 1 AS row_no
+        FROM (SELECT page_id, table_no, regexp_extract_all(list, '<li[^>]*>(.*?)</li>', 1, 's') AS i FROM lists)),
+    cells AS (
+        SELECT page_id, table_no, 0 AS row_no, 1 AS col_no, 'first' AS text FROM lists
+        UNION ALL SELECT page_id, table_no, 0, 0, 'list' FROM lists
+        UNION ALL SELECT page_id, table_no, row_no, 0, 'list' FROM items
+        UNION ALL SELECT page_id, table_no, row_no, 1,
+            trim(regexp_replace(replace(regexp_replace(item, '<[^>]*>', '', 'g'), '&amp;', '&'), '\\s+', ' ', 'g')) FROM items)
+    SELECT page_id, table_no::BIGINT AS table_no, row_no::BIGINT AS row_no, col_no::BIGINT AS col_no, text FROM cells""")
+def _(t: Tables):
+    opened = "<table><tr><td rowspan='65534'>list</td><td>first</td></tr>"
+    return longs(html_cells(_lists_as_tables(t, opened), "html", "page_id").drop("is_header"))
+
+
+def _lists_as_tables(t: Tables, opened: str = "<table>"):
     html = F.col("html")
-    for old, new in (("<ul[^>]*>", "<table>"), ("</ul>", "</table>"), ("<li[^>]*>", "<tr><td>"), ("</li>", "</td></tr>")):
+    for old, new in (("<ul[^>]*>", opened), ("</ul>", "</table>"), ("<li[^>]*>", "<tr><td>"), ("</li>", "</td></tr>")):
         html = F.regexp_replace(html, old, new)
     return t.pages.select("page_id", html.alias("html"))
 

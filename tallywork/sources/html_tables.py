@@ -37,24 +37,31 @@ class _Cells(HTMLParser):
         if table["text"] is not None:
             text = " ".join("".join(table["text"]).split())
             columns, rows = table["span"]
-            for row in range(table["row"], table["row"] + rows):
-                for col in range(table["col"], table["col"] + columns):
-                    table["taken"][row, col] = table["header"], text
+            for col in range(table["col"], table["col"] + columns):
+                table["taken"][table["row"], col] = table["header"], text
+                if rows > 1:  # goes on as long as there are rows
+                    table["down"][col] = table["row"] + rows - 1, table["header"], text
             table["text"] = None
 
+    def _open_row(self) -> None:
+        self._close_cell()
+        table = self.stack[-1]
+        table.update(row=table["row"] + 1, col=-1)
+        table["down"] = {col: cell for col, cell in table["down"].items() if cell[0] >= table["row"]}
+        for col, (_, header, text) in table["down"].items():
+            table["taken"][table["row"], col] = header, text
+
     def _close_table(self) -> None:
         self._close_cell()
         table = self.stack.pop()
-        # a span may reach beyond the last row of the table; such places don't exist
-        self.cells += [(table["no"], row, col, *cell) for (row, col), cell in sorted(table["taken"].items()) if row <= table["row"]]
+        self.cells += [(table["no"], row, col, *cell) for (row, col), cell in sorted(table["taken"].items())]
 
     def handle_starttag(self, tag, attrs) -> None:
         if tag == "table":
-            self.stack.append({"no": self.tables, "row": -1, "col": -1, "header": False, "text": None, "span": (1, 1), "taken": {}})
+            self.stack.append({"no": self.tables, "row": -1, "col": -1, "header": False, "text": None, "span": (1, 1), "taken": {}, "down": {}})
             self.tables += 1
         elif self.stack and tag == "tr":
-            self._close_cell()
-            self.stack[-1].update(row=self.stack[-1]["row"] + 1, col=-1)
+            self._open_row()
         elif self.stack and tag in ("td", "th"):
             self._close_cell()
             table = self.stack[-1]
