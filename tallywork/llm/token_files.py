@@ -276,6 +276,10 @@ def write_token_files(
         "path", "part", "place", "n_pages", "n_tokens", (F.col("before_part") + F.col("within")).alias("first_token"))
 
 
+def _tasks(files: DataFrame) -> int:
+    return int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def read_token_files(files: DataFrame) -> DataFrame:
     """(page_id, start, n_tokens, ids) of every page in ``files(path, first_token)``.
 
@@ -299,7 +303,8 @@ def read_token_files(files: DataFrame) -> DataFrame:
                         "page_id": page_ids, "start": first + begin, "n_tokens": end - begin,
                         "ids": [ids[4 * a:4 * b] for a, b in zip(begin, end, strict=True)]})
 
-    spread = files.select("path", "first_token").repartition("path")
+    # rows of a few bytes stand for whole files: a fixed number of tasks, which adaptive execution doesn't merge
+    spread = files.select("path", "first_token").repartition(_tasks(files), "path")
     return spread.mapInPandas(read, "page_id long, start long, n_tokens long, ids binary")
 
 
@@ -330,5 +335,5 @@ def read_tokens(files: DataFrame, wanted: DataFrame) -> DataFrame:
                     ids = TokenFile(source.read())[group["place"].to_numpy() - first]
                 yield pd.DataFrame({"place": group["place"].to_numpy(), "id": ids.astype("int64")})
 
-    chosen = found.select(F.col("at").alias("place"), "file.path", "file.first_token").repartition("path").sortWithinPartitions("path")
+    chosen = found.select(F.col("at").alias("place"), "file.path", "file.first_token").repartition(_tasks(files), "path").sortWithinPartitions("path")
     return chosen.mapInPandas(look_up, "place long, id long")
