@@ -294,7 +294,7 @@ WITH base AS (
   FROM split LEFT JOIN covered USING (rid)
 ), f AS (
   SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
-    + CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END
     + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END
     + CASE WHEN 100 * n_capitals > 40 * word_chars THEN 64 ELSE 0 END
     + CASE WHEN 100 * n_exclamations > 20 * n_words THEN 128 ELSE 0 END AS failure_bits
