@@ -19,7 +19,7 @@ from tallywork.llm.common import page_texts, text_of
 register_pickle_by_value(sys.modules[__name__])
 
 SAMPLES = 64
-_TERMS_AT_ONCE = 4096
+_TERMS_AT_ONCE = 1024
 
 
 def _gamma_quantiles(steps: int = 1 << 12) -> np.ndarray:
@@ -113,7 +113,8 @@ def fingerprint(text_columns: Sequence[str], samples: int = SAMPLES) -> Column:
             columns = columns if isinstance(columns, tuple) else (columns,)  # one column comes bare
             rows, out = list(zip(*columns, strict=True)), []
             for some in shingles.slices(rows):
-                sets = [np.unique(shingles.shingle_hashes(t or ""), return_counts=True) for row in some for t in row]
+                texts = {t: np.unique(shingles.shingle_hashes(t or ""), return_counts=True) for t in {t for row in some for t in row}}
+                sets = [texts[t] for row in some for t in row]
                 hexed = [s.astype(">u2").tobytes().hex() for s in sampler.signatures(sets)]
                 out += [hexed[i:i + len(columns)] for i in range(0, len(hexed), len(columns))]
             yield pd.Series(out, dtype=object)

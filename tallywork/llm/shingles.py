@@ -26,30 +26,37 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return z
 
 
-_BYTE = mixed(np.arange(1, 257, dtype="uint64") * _BASE)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = np.where(_SPACE, np.uint64(0), mixed(np.arange(1, 257, dtype="uint64") * _BASE))
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_STEPS = mixed(np.arange(101, 101 + 16, dtype="uint64")) | np.uint64(1)
+_powers = {_BASE: np.ones(1, "uint64"), _INVERSE: np.ones(1, "uint64")}
+
+
+def _power(base: np.uint64, count: int) -> np.ndarray:
+    """The first ``count`` powers of ``base``, kept for the next text."""
+    if _powers[base].size < count:
+        steps = np.full(max(count, 1 << 16), base, "uint64")
+        steps[0] = 1
+        _powers[base] = np.multiply.accumulate(steps)
+    return _powers[base][:count]
 
 
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word, a run of UTF-8 bytes without space, tab or line break characters.
 
-    A word's hash is a polynomial in the hashes of its bytes, summed for all words at once.
+    A word's hash is a polynomial in the hashes of its bytes, summed for all words at once: bytes count by their place in
+    the text, and the sum is divided by the power at the word's start. White space counts 0.
     """
     raw = np.frombuffer(text.encode(), "uint8")
-    if not raw.size:
-        return np.zeros(0, "uint64")
-    inside = ~_SPACE[raw]
-    edges = np.diff(inside.astype("int8"), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    inside = np.zeros(raw.size + 1, bool)
+    np.logical_not(_SPACE[raw], out=inside[1:])
+    starts = np.flatnonzero(inside[1:] > inside[:-1])
     if not starts.size:
         return np.zeros(0, "uint64")
-    length = ends - starts
-    within = np.arange(raw.size) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, raw.size]))
-    within[~inside] = 0
-    powers = np.multiply.accumulate(np.full(int(length.max()), _BASE, "uint64"))
-    terms = _BYTE[raw] * powers[np.minimum(within, powers.size - 1)]
-    terms[~inside] = 0
-    return mixed(np.add.reduceat(terms, starts) + length.astype("uint64"))
+    terms = _BYTE[raw]
+    terms *= _power(_BASE, raw.size)
+    return mixed(np.add.reduceat(terms, starts) * _power(_INVERSE, raw.size)[starts])
 
 
 def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
@@ -62,8 +69,8 @@ def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
         words, runs = h.size, 1
     out = np.full(runs, words, "uint64")
     for i in range(words):
-        out = mixed(out * _BASE + h[i:i + runs])
-    return out
+        out += h[i:i + runs] * _STEPS[i]
+    return mixed(out)
 
 
 def slices(rows: Sequence[tuple], characters: int = SLICE_CHARACTERS) -> Iterator[list[tuple]]:
