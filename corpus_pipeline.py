@@ -52,9 +52,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, round_trip): the ids, and whether they decode to the text's bytes."""
     rules = BYTE_BPE, public_tokenizers.PATTERN
-    encoded = byte_bpe.encode_pages(as_pages(docs), *rules, "lang", "source", "html")
-    decoded = byte_bpe.decode_pages(encoded, *rules)
-    return decoded.select(
+    coded = byte_bpe.round_trip_pages(as_pages(docs), *rules, "lang", "source", "html")
+    return coded.select(
         F.col("page_id").alias("doc_id"), "lang", "source", "n_tokens", "ids",
         (F.col("decoded") == F.encode("html", "utf-8")).alias("round_trip"))
 

@@ -8,10 +8,11 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallywork.llm.common import page_texts
 
@@ -19,6 +20,7 @@ register_pickle_by_value(sys.modules[__name__])
 
 #: Length from which a text is cut before encoding. A cut never changes the ids.
 LONG_TEXT = 1 << 16
+ROWS_AT_ONCE = 128
 
 # Places where every match of the pattern ends, whatever stands further left or right: before white space after
 # something else, and between ASCII letters, digits and signs. Python's \s holds all that the pattern calls white
@@ -61,21 +63,40 @@ def encode_text(encoding, text: str) -> list[int]:
     return [i for piece in safe_pieces(text) for i in encoding.encode_ordinary(piece)]
 
 
+def _with_column(df: DataFrame, name: str, source: str, ranks: str, pattern: str, convert, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``df`` and the binary column ``name``, made from ``source`` ROWS_AT_ONCE rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = None
+        for batch in batches:
+            encoding = encoding or load_encoding(ranks, pattern)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                some = batch.slice(at, ROWS_AT_ONCE)
+                made = pa.array([convert(encoding, value) for value in some.column(source).to_pylist()], pa.binary())
+                yield pa.record_batch([*(some.column(c) for c in keep), made], names=[*keep, name])
+
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(name, T.BinaryType())])
+    return df.select(*dict.fromkeys([*keep, source])).mapInArrow(run, schema)
+
+
+def _ids(encoding, text: str) -> bytes:
+    return np.array(encode_text(encoding, text), "<u4").tobytes()
+
+
+def _bytes(encoding, ids: bytes | None) -> bytes:
+    return encoding.decode_bytes(np.frombuffer(ids or b"", "<u4").tolist())
+
+
 def encode_pages(pages: DataFrame, ranks: str, pattern: str, *keep: str) -> DataFrame:
     """(page_id, the columns ``keep``, ids, n_tokens) for each row of ``pages(page_id, html)``.
 
     ``ranks`` is the path of the rank file, the same on every worker; ``pattern`` splits the text before merging.
     Special tokens are not known: their strings are ordinary text. ``ids`` holds little-endian unsigned 32-bit
-    integers. Missing and empty texts have no ids. Rows stay where they are: no shuffle; memory is one batch of texts.
+    integers. Missing and empty texts have no ids. Rows stay where they are: no shuffle; memory is one batch of texts and
+    the ids of ROWS_AT_ONCE of them.
     """
-
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoding = load_encoding(ranks, pattern)
-        for texts in batches:
-            yield pd.Series([np.array(encode_text(encoding, t), "<u4").tobytes() for t in texts], dtype=object)
-
-    encoded = page_texts(pages, *(c for c in keep if c != "html")).select("page_id", *keep, encode("html").alias("ids"))
+    texts = page_texts(pages, *(c for c in keep if c != "html"))
+    encoded = _with_column(texts, "ids", "html", ranks, pattern, _ids, ["page_id", *keep])
     return encoded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
@@ -84,11 +105,28 @@ def decode_pages(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     Ids that the rank file doesn't have fail the task. Missing ids give no bytes.
     """
+    return _with_column(encoded, "decoded", "ids", ranks, pattern, _bytes, encoded.columns)
+
 
-    @F.pandas_udf("binary")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoding = load_encoding(ranks, pattern)
-        for ids in batches:
-            yield pd.Series([encoding.decode_bytes(np.frombuffer(i or b"", "<u4").tolist()) for i in ids], dtype=object)
+def round_trip_pages(pages: DataFrame, ranks: str, pattern: str, *keep: str) -> DataFrame:
+    """:func:`encode_pages` with ``decoded``, the bytes that :func:`decode_pages` gives for the ids, in one Python step.
 
-    return encoded.withColumn("decoded", decode("ids"))
+    A task then has one Python process for both, and the ids cross to it once.
+    """
+    texts = page_texts(pages, *(c for c in keep if c != "html"))
+    kept = ["page_id", *keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = None
+        for batch in batches:
+            encoding = encoding or load_encoding(ranks, pattern)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                some = batch.slice(at, ROWS_AT_ONCE)
+                ids = [_ids(encoding, text) for text in some.column("html").to_pylist()]
+                decoded = pa.array([_bytes(encoding, i) for i in ids], pa.binary())
+                yield pa.record_batch([*(some.column(c) for c in kept), pa.array(ids, pa.binary()), decoded], names=[*kept, "ids", "decoded"])
+
+    schema = T.StructType([
+        *(texts.schema[c] for c in kept), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+    both = texts.select(*dict.fromkeys([*kept, "html"])).mapInArrow(run, schema)
+    return both.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))

@@ -255,8 +255,8 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_byte_bpe")
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     rules = BYTE_BPE, public_tokenizers.PATTERN
-    encoded = byte_bpe.encode_pages(as_pages(table(spark, folder, "documents")), *rules)
-    return as_documents(byte_bpe.decode_pages(encoded, *rules)).select(
+    coded = byte_bpe.round_trip_pages(as_pages(table(spark, folder, "documents")), *rules)
+    return as_documents(coded).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -17,6 +17,9 @@ def texts_of(pages):
 def test_ids_and_bytes_are_those_of_the_library(edge_pages):
     encoding = byte_bpe.load_encoding(*RULES)
     got = byte_bpe.decode_pages(byte_bpe.encode_pages(edge_pages, *RULES, "html"), *RULES).collect()
+    once = byte_bpe.round_trip_pages(edge_pages, *RULES, "html").select(*byte_bpe.decode_pages(
+        byte_bpe.encode_pages(edge_pages, *RULES, "html"), *RULES).columns).collect()
+    assert sorted(map(str, once)) == sorted(map(str, got))
     assert len(got) == edge_pages.count()
     for row in got:
         want = encoding.encode_ordinary(row["html"] or "")
