@@ -64,8 +64,10 @@ RULES = (
     ("all-rights-reserved", "(copyright_line,)?all_rights,"),
 )
 
-#: A sentence without any of these can't be a licence sentence.
+#: Licence words. In the normal form, a sentence without any of these or of MORE_HINTS can't be a licence sentence.
 HINTS = "licen[cs]e|copyright|redistribut|permission|rights reserved|public domain|under cc|creative commons|as.is|liable|of the gnu|endorse|warrant"
+#: Further ones, which the SQL twin doesn't know: it looks for HINTS in the sentence as written, with one blank for white space.
+MORE_HINTS = "under (the )?(a )?cc"
 UNKNOWN = "unknown"
 
 SENTENCE_END = r"(?<=[.!?;:])\s+"
@@ -86,16 +88,16 @@ def _identifier(sentence: Column) -> Column:
 def scan_licenses(pages: DataFrame) -> DataFrame:
     """(page_id, licenses, sentences, n_known, n_unknown) for each row of ``pages(page_id, html)``.
 
-    A text is cut into sentences after . ! ? ; : and white space. Those with a licence word are brought to normal form and
-    mapped to the identifiers of known sentences (SENTENCES); ``sentences`` lists them in order. RULES are tried in their order
+    A text is cut into sentences after . ! ? ; : and white space. Those with a licence word in their normal form, where wrapped
+    and commented lines read as one, are mapped to the identifiers of known sentences (SENTENCES); ``sentences`` lists them in order. RULES are tried in their order
     on the sequence of known ones. ``licenses`` holds the licences found, in the order of the text, each once. ``n_unknown``
     counts sentences with a licence word that none of the known ones is. Missing and empty texts have empty lists.
 
     Row by row, no shuffle. All but the sentences with a licence word are dropped by one pattern before the rest.
     """
     split = page_texts(pages).select("page_id", F.filter(
-        F.split("html", SENTENCE_END), lambda s: s.rlike(f"(?i){HINTS}")).alias("candidates"))
-    named = split.select("page_id", F.transform("candidates", lambda s: _identifier(normal_form(s))).alias("sentences"))
+        F.transform(F.split("html", SENTENCE_END), normal_form), lambda s: s.rlike(f"{HINTS}|{MORE_HINTS}")).alias("candidates"))
+    named = split.select("page_id", F.transform("candidates", _identifier).alias("sentences"))
     known = named.select(
         "page_id", "sentences", F.filter("sentences", lambda s: s != UNKNOWN).alias("known")).withColumn(
         "sequence", F.when(F.size("known") > 0, F.concat(F.lit(","), F.array_join("known", ","), F.lit(","))).otherwise(F.lit("")))

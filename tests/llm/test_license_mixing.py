@@ -1,6 +1,8 @@
 """Licence scan on written fixtures; mixing against a plain version."""
 
 import hashlib
+import itertools
+import re
 from collections import defaultdict
 
 from tallywork.llm import license_scan, mixing
@@ -37,6 +39,45 @@ def test_licences_by_their_sentences(spark):
     assert by_id[11]["n_unknown"] == 1 and by_id[14]["n_known"] == 1 and by_id[9]["sentences"] == []
 
 
+def written_out(pattern):
+    """Every text of a pattern of words, groups, choices and optional parts; one for each "any characters" and class."""
+    def expand(parsed):
+        parts = []
+        for op, arg in parsed:
+            op = str(op)
+            if op == "LITERAL":
+                parts.append([chr(arg)])
+            elif op == "IN":
+                parts.append([chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])])
+            elif op == "ANY":
+                parts.append(["x"])
+            elif op == "SUBPATTERN":
+                parts.append(expand(arg[-1]))
+            elif op == "BRANCH":
+                parts.append([t for one in arg[1] for t in expand(one)])
+            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+                low, high, one = arg
+                low = max(low, str(one[0][0]) == "ANY")
+                parts.append([t * n for t in expand(one) for n in {low, min(int(high), max(low, 1))}])
+            elif op != "AT" and not op.startswith("ASSERT"):
+                raise ValueError(op)
+        return ["".join(t) for t in itertools.product(*parts)]
+    return [" ".join(t.split()) for t in expand(re._parser.parse(pattern))]
+
+
+def test_wrapped_and_commented_sentences(spark):
+    sentences = [(name, text) for name, pattern in license_scan.SENTENCES for text in written_out(pattern)]
+    assert {name for name, _ in sentences} == {name for name, _ in license_scan.SENTENCES}
+    breaks = (" ", "\n", "\r\n  ", "\n# ", "\n// ", "\n * ")
+    rows = [(i, f"Some words. {b.join(text.capitalize().split())}. More words.") for i, (b, (_, text)) in enumerate(itertools.product(breaks, sentences))]
+    got = {r["page_id"]: r["sentences"] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    wanted = [name for _ in breaks for name, _ in sentences]
+    assert [(rows[i][1], got[i]) for i, name in enumerate(wanted) if name not in got[i]] == []
+    for text in ("All rights\nreserved.", "dedicated to the public\ndomain", "available under the CC BY 4.0", "released under a CC BY 4.0"):
+        one = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "page_id long, html string")).first()
+        assert len(one["licenses"]) == one["n_known"] == 1
+
+
 def test_licence_edges(edge_pages, no_pages):
     assert license_scan.scan_licenses(edge_pages).count() == edge_pages.count()
     assert license_scan.scan_licenses(no_pages).count() == 0
