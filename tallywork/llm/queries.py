@@ -49,7 +49,7 @@ def as_documents(result: DataFrame) -> DataFrame:
 @query("op1_token_files")
 def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = token_files.write_token_files(
-        as_pages(table(spark, folder, "documents")), scratch_path(spark, "tokens"), WORD_BPE)
+        as_pages(table(spark, folder, "documents")), scratch_path(spark, "tokens"), WORD_BPE, markers=True)
     return as_documents(token_files.read_token_files(files)).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

@@ -152,14 +152,23 @@ class WordEncoder:
     Equal to encoding the whole text at once: normalisation (composition, lower case by character) never looks across a
     space, and a full stop or comma between a letter and a space is a piece of its own. A word met before isn't encoded
     again; new words of Latin letters are encoded WORDS_AT_ONCE in one text, any other word by itself.
+
+    With ``markers`` the strings of the tokenizer's added tokens, as they are written, stand for their ids, which is what the
+    library does by default: it cuts a text at them first. Otherwise they are ordinary text.
     """
 
-    def __init__(self, tokenizer_path: str, end_id: int) -> None:
+    def __init__(self, tokenizer_path: str, end_id: int, markers: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # words don't hold markers; in lower case they may look like one
+        added = self.tokenizer.get_added_tokens_decoder() if markers else {}
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip or not t.special for t in added.values()):
+            raise ValueError("markers must be special tokens that are met as they are written")
+        self.markers = {t.content.encode(): np.array([i], "<u4").tobytes() for i, t in added.items()}
+        longest_first = sorted(self.markers, key=len, reverse=True)
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, longest_first)) + b")") if added else None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_piece = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_piece[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -184,6 +193,14 @@ class WordEncoder:
                 self._alone(group)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if self.cut is None:
+            return [ids + self.end for ids in self._encode(texts)]
+        # every second part of a text is a marker
+        parts = [self.cut.split(t) for t in texts]
+        between = iter(self._encode([x for some in parts for x in some[::2]]))
+        return [b"".join(self.markers[x] if i % 2 else next(between) for i, x in enumerate(some)) + self.end for some in parts]
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.words) > CACHED_WORDS:
             self.words = {b"": b""}
         split = [STOP.sub(rb" \1", t.translate(PLAIN)).split(b" ") for t in texts]
@@ -198,7 +215,7 @@ class WordEncoder:
             for i in range(0, len(some), 1024):
                 learn(some[i:i + 1024])
         ids = self.words.__getitem__
-        return [b"".join(map(ids, words)) + self.end for words in split]
+        return [b"".join(map(ids, words)) for words in split]
 
 
 def _file_system(folder: str):
@@ -211,13 +228,14 @@ def _file_system(folder: str):
 
 
 def write_token_files(
-    pages: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, tokens_a_file: int = 1 << 22
+    pages: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, tokens_a_file: int = 1 << 22, markers: bool = False
 ) -> DataFrame:
     """Write the ids of ``pages(page_id, html)`` in ascending page_id order below ``folder``; return the list of files.
 
     Every page's ids are those of its whole text, followed by ``end_id``; missing and empty texts have the end id alone.
     Missing page ids come first; rows of one page_id are ordered by their text's hash, repeated rows stay repeated.
     An empty table writes no file. ``tokenizer_path`` is the same on every worker; its tokenizer must drop white space.
+    With ``markers`` a text's "<|endoftext|>" and the like give their one id, as the library does by default; else they are text.
 
     The rows are range-partitioned by (page_id, text hash) and sorted; each task encodes its range as a stream and starts
     another file after ``tokens_a_file`` ids (a page is never split). Files carry a random part in their names, and the
@@ -232,7 +250,7 @@ def write_token_files(
         from pyspark import TaskContext
 
         part, place = TaskContext.get().partitionId(), 0
-        encoder, (system, root) = WordEncoder(tokenizer_path, end_id), _file_system(folder)
+        encoder, (system, root) = WordEncoder(tokenizer_path, end_id, markers), _file_system(folder)
         held: list[bytes] = []
         page_ids: list[int | None] = []
         ends: list[int] = []

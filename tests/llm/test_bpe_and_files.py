@@ -1,5 +1,7 @@
 """Byte-level BPE and token files against the libraries' own answers on whole texts."""
 
+import zlib
+
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -73,6 +75,27 @@ def test_token_files_hold_every_id_in_order(spark, edge_pages, tmp_path):
     assert sorted((r["place"], r["id"]) for r in found) == sorted((p, everything[p]) for p in places if 0 <= p < at)
 
 
+def test_query_gives_the_library_s_ids_of_markers(spark, edge_pages, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tallywork.llm.queries import op1_token_files
+
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))  # as it is
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    texts = [
+        f"page end {end} next", end, f"{start}{end}{end}", f"Don't{start}'s x.{end}", f"A.{end} b. <|EndOfText|> C", f"e{end}\u0301 é{end}É",
+        f"x<{end}>{end[:-1]} {end[:5]} {end[5:]}", f" \n{end}\t{start} \n", f"{'Many words, ' * 9000}{end}{'and more. ' * 9000}", "<|ENDOFTEXT|>", "no marker."]
+    texts += [text for _, text in texts_of(edge_pages)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    at, want = 0, []
+    for i, text in enumerate(texts):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, op1_token_files(spark, str(tmp_path)).collect())) == want
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [2504, 806, 49407, 1131]
+
+
 def test_no_file_for_no_page(no_pages, tmp_path):
     files = token_files.write_token_files(no_pages, str(tmp_path / "f"), P.path("word_bpe_49k.json"))
     assert files.count() == 0 and token_files.read_token_files(files).count() == 0
