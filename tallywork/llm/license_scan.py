@@ -64,10 +64,48 @@ RULES = (
     ("all-rights-reserved", "(copyright_line,)?all_rights,"),
 )
 
+# Headers of the GNU licences, with the versions that they grant. The SQL twin takes SENTENCES, RULES and HINTS as they stand and
+# gives a sentence one name; these go beyond it.
+_TERMS = "redistribute it and or modify it under the terms of"
+_GPL = "the gnu (lesser |library |affero )?general public licen[cs]e"
+_OF = f"( of (the licen[cs]e|{_GPL}))?( as published by the free software foundation)?"
+_LATER = f"{_OF} or (at your option )?(any )?(later|newer)"
+_HEADER = f"{_TERMS} ({_GPL}( a?l?gpl)?( as published by the (free software foundation|fsf)( inc)?)?( either| under| only)* v(ersion )?|version )"
+
+
+def _version(number: str) -> str:
+    number = rf"{number}(?! [0-9]\b)(?!{_LATER}\b)"
+    return (f"{_HEADER}{number}|^(either )?version {number} of the licen[cs]e|"
+            f"either version [0-9]( [0-9])?{_OF} or (at your option )?version {number}")
+
+
+#: Patterns that stand for those of SENTENCES with the same names, or come after them.
+VERSIONS = {
+    **{f"{k}gpl_redistribute": f"{_TERMS} (version [0-9]( [0-9])? of )?the gnu {word}general public licen[cs]e"
+       for k, word in (("l", "(lesser|library) "), ("a", "affero "), ("", ""))},
+    "gpl_or_later": f"either version [0-9]( [0-9])?{_OF} or (at your option )?any later version|"
+                    f"^version [0-9]( [0-9])?{_OF} or at your option any later version|{_HEADER}[0-9]( [0-9])?{_LATER}",
+    "gnu_version_1": _version("1( 0)?"), "gnu_version_2": _version("2( 0)?"), "gnu_version_21": _version("2 1"),
+    "gnu_version_3": _version("3( 0)?"),
+}
+_PATTERNS = {**dict(SENTENCES), **VERSIONS}
+
+#: In place of the or-later rules, those that need the grant, one version, and none.
+GNU_RULES = tuple(
+    (licence + name, f"{licence.lower()}_redistribute,{version}(gpl_hope,)?(gpl_copy,)?")
+    for licence in ("LGPL", "AGPL", "GPL") for name, version in (
+        ("-or-later", "gpl_or_later,"), ("-1.0", "gnu_version_1,"), ("-2.0", "gnu_version_2,"), ("-2.1", "gnu_version_21,"),
+        ("-3.0", "gnu_version_3,"), ("", ""))
+) + tuple((f"{licence}-3.0", rf"(?<=<{licence}-2\.[01]>)gnu_version_3,(gpl_hope,)?(gpl_copy,)?") for licence in ("LGPL", "GPL"))
+_RULES = (*GNU_RULES, *(r for r in RULES if not r[0].endswith("-or-later")))
+
 #: Licence words. In the normal form, a sentence without any of these or of MORE_HINTS can't be a licence sentence.
 HINTS = "licen[cs]e|copyright|redistribut|permission|rights reserved|public domain|under cc|creative commons|as.is|liable|of the gnu|endorse|warrant"
 #: Further ones, which the SQL twin doesn't know: it looks for HINTS in the sentence as written, with one blank for white space.
-MORE_HINTS = "under (the )?(a )?cc"
+MORE_HINTS = f"under (the )?(a )?cc|{VERSIONS['gpl_or_later']}"
+#: A sentence that isn't known has a licence word by one of these in the normal form, or by AS_IS as written: "as, is" is none.
+AS_IS = "as.is"
+WORDS = "|".join([*(h for h in HINTS.split("|") if h != AS_IS), MORE_HINTS])
 UNKNOWN = "unknown"
 
 SENTENCE_END = r"(?<=[.!?;:])\s+"
@@ -77,35 +115,42 @@ def normal_form(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
-def _identifier(sentence: Column) -> Column:
-    """The known sentence that a normalised one is, or UNKNOWN."""
-    name = F.when(sentence.rlike(rf"\b{SENTENCES[0][1]}\b"), SENTENCES[0][0])
-    for identifier, pattern in SENTENCES[1:]:
-        name = name.when(sentence.rlike(rf"\b{pattern}\b"), identifier)
-    return name.otherwise(UNKNOWN)
+def _identifiers(sentence: Column) -> Column:
+    """The names of all known sentences in a normalised one, by their places, each once; none in an unknown one."""
+    found = F.array(*(
+        F.struct(F.regexp_instr(sentence, F.lit(rf"\b(?:{pattern})\b")).alias("place"), F.lit(i).alias("nr"), F.lit(name).alias("name"))
+        for i, (name, pattern) in enumerate(_PATTERNS.items())))
+    return F.transform(F.array_sort(F.filter(found, lambda x: x["place"] > 0)), lambda x: x["name"])
 
 
 def scan_licenses(pages: DataFrame) -> DataFrame:
     """(page_id, licenses, sentences, n_known, n_unknown) for each row of ``pages(page_id, html)``.
 
     A text is cut into sentences after . ! ? ; : and white space. Those with a licence word in their normal form, where wrapped
-    and commented lines read as one, are mapped to the identifiers of known sentences (SENTENCES); ``sentences`` lists them in order. RULES are tried in their order
-    on the sequence of known ones. ``licenses`` holds the licences found, in the order of the text, each once. ``n_unknown``
-    counts sentences with a licence word that none of the known ones is. Missing and empty texts have empty lists.
+    and commented lines read as one, are mapped to the identifiers of all known sentences in them (SENTENCES, VERSIONS); ``sentences`` lists them by their places. GNU_RULES
+    and RULES are tried in their order on the sequence of known ones. ``licenses`` holds the licences found, in the order of the text,
+    each once. A GNU licence is named with the version that its header grants, "or-later" or neither. ``n_known`` counts sentences that
+    hold a known one, ``n_unknown`` those with a licence word that hold none. Missing and empty texts have empty lists.
 
     Row by row, no shuffle. All but the sentences with a licence word are dropped by one pattern before the rest.
     """
     split = page_texts(pages).select("page_id", F.filter(
-        F.transform(F.split("html", SENTENCE_END), normal_form), lambda s: s.rlike(f"{HINTS}|{MORE_HINTS}")).alias("candidates"))
-    named = split.select("page_id", F.transform("candidates", _identifier).alias("sentences"))
+        F.transform(F.split("html", SENTENCE_END), lambda s: F.struct(s.alias("written"), normal_form(s).alias("normal"))),
+        lambda s: s["normal"].rlike(f"{HINTS}|{MORE_HINTS}")).alias("candidates"))
+    named = split.select("page_id", F.filter(
+        F.transform("candidates", lambda s: F.struct(_identifiers(s["normal"]).alias("names"), (
+            s["normal"].rlike(WORDS) | F.regexp_replace(s["written"], r"\s+", " ").rlike(f"(?i){AS_IS}")).alias("hinted"))),
+        lambda s: s["hinted"] | (F.size(s["names"]) > 0))["names"].alias("names"))
     known = named.select(
-        "page_id", "sentences", F.filter("sentences", lambda s: s != UNKNOWN).alias("known")).withColumn(
+        "page_id", F.flatten(F.transform("names", lambda n: F.when(F.size(n) > 0, n).otherwise(F.array(F.lit(UNKNOWN))))).alias("sentences"),
+        F.flatten("names").alias("known"), F.size(F.filter("names", lambda n: F.size(n) > 0)).alias("n_known"),
+        F.size("names").alias("n_sentences")).withColumn(
         "sequence", F.when(F.size("known") > 0, F.concat(F.lit(","), F.array_join("known", ","), F.lit(","))).otherwise(F.lit("")))
     sequence = F.col("sequence")
-    for licence, pattern in RULES:
+    for licence, pattern in _RULES:
         # a licence found is written as "<name>", which no pattern of identifiers meets
         sequence = F.regexp_replace(sequence, f"(?<=[,>]){pattern}", f"<{licence}>")
     found = F.regexp_extract_all(sequence, F.lit("<([^>]*)>"), 1)
     return known.select(
-        "page_id", F.array_distinct(found).alias("licenses"), "sentences", F.size("known").cast("long").alias("n_known"),
-        (F.size("sentences") - F.size("known")).cast("long").alias("n_unknown"))
+        "page_id", F.array_distinct(found).alias("licenses"), "sentences", F.col("n_known").cast("long").alias("n_known"),
+        (F.col("n_sentences") - F.col("n_known")).cast("long").alias("n_unknown"))

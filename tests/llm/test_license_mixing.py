@@ -78,6 +78,39 @@ def test_wrapped_and_commented_sentences(spark):
         assert len(one["licenses"]) == one["n_known"] == 1
 
 
+def test_licence_words_of_unknown_sentences(spark):
+    texts = [("as, is", 0), ("as%%% is", 0), ("as  is", 1), ("as-is", 1), ("some rights\n# reserved", 1), ("under the CC licence", 1), ("basis", 0)]
+    rows = [(i, text) for i, (text, _) in enumerate(texts)]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "page_id long, html string")).collect()
+    assert sorted((r["page_id"], r["n_unknown"], r["n_known"]) for r in got) == [(i, n, 0) for i, (_, n) in enumerate(texts)]
+
+
+def test_versions_of_gnu_headers(spark):
+    may = "This program is free software; you can redistribute it and/or modify it under the terms of "
+    hope = " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without more. " \
+           "You should have received a copy of the GNU General Public License along with it."
+    fsf = "as published by the Free Software Foundation"
+    gpl, lesser, affero = (f"the GNU {x}General Public License" for x in ("", "Lesser ", "Affero "))
+    later = "of the License, or (at your option) any later version."
+    texts = [
+        (f"{may}{gpl} version 2 {fsf}.{hope}", ["GPL-2.0"]), (f"{may}{gpl} {fsf}, either version 3 {later}{hope}", ["GPL-or-later"]),
+        (f"{may}{gpl}\n# {fsf}; either version 2\n# {later}", ["GPL-or-later"]), (f"{may}{gpl} {fsf}; version 2 of the License.{hope}", ["GPL-2.0"]),
+        (f"{may}{gpl} {fsf}; either version 2, or (at your option) any later version.", ["GPL-or-later"]), (f"{may}{gpl} {fsf}.{hope}", ["GPL"]),
+        (f"{may}{gpl}, version 3.0, {fsf}.", ["GPL-3.0"]), (f"{may}version 2 of {gpl} {fsf}.", ["GPL-2.0"]),
+        (f"{may}{gpl} version 2 or later.", ["GPL-or-later"]), (f"{may}version 2 of {gpl}, or any later version.", ["GPL-or-later"]),
+        (f"{may}{lesser} {fsf}; either version 2.1 {later}", ["LGPL-or-later"]), (f"{may}{lesser} version 2.1 {fsf}.", ["LGPL-2.1"]),
+        (f"{may}{affero} {fsf}, either version 3 {later}", ["AGPL-or-later"]), (f"{may}{affero}, version 3, {fsf}.", ["AGPL-3.0"]),
+        (f"{may}{gpl} {fsf}, either version 2 of the License, or (at your option) version 3.", ["GPL-2.0", "GPL-3.0"]),
+        (f"{may}{lesser}.", ["LGPL"]), (f"{may}{gpl}. It needs Python version 3 or later.", ["GPL"]),
+        (MIT + f" {may}{gpl} version 2 {fsf}.", ["MIT", "GPL-2.0"]),
+    ]
+    rows = [(i, text) for i, (text, _) in enumerate(texts)]
+    got = {r["page_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    assert [(text, got[i]["licenses"]) for i, (text, want) in enumerate(texts) if got[i]["licenses"] != want] == []
+    assert got[1]["sentences"][:2] == ["gpl_redistribute", "gpl_or_later"] and (got[1]["n_known"], got[1]["n_unknown"]) == (3, 0)
+    assert got[17]["sentences"][:3] == ["copyright_line", "mit_grant", "mit_notice"]  # the first two in one sentence
+
+
 def test_licence_edges(edge_pages, no_pages):
     assert license_scan.scan_licenses(edge_pages).count() == edge_pages.count()
     assert license_scan.scan_licenses(no_pages).count() == 0
