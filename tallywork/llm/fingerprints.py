@@ -18,6 +18,7 @@ from tallywork.llm.common import page_texts, text_of
 
 register_pickle_by_value(sys.modules[__name__])
 
+#: A likeness of p is estimated with a standard error of sqrt(p (1 - p) / samples): for 64 up to 0.063, 0.05 at 0.8.
 SAMPLES = 64
 _TERMS_AT_ONCE = 1024
 
