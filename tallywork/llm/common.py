@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import sys
 
 from pyspark.cloudpickle import register_pickle_by_value
@@ -34,6 +35,12 @@ def digest_columns(text: str | Column = HTML, prefix: str = "text") -> list[Colu
     return [F.xxhash64(text).alias(f"{prefix}_a"), F.xxhash64(F.lit(prefix), text).alias(f"{prefix}_b")]
 
 
+def ascii_lower(text: Column) -> Column:
+    """``text`` with A to Z in lower case and no other letter changed; texts of ASCII alone take the short way."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
+        F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for each row, also where lambdas use it.
 

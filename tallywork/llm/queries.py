@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywork.llm import (
-    boilerplate, byte_bpe, fingerprints, license_scan, mixing, near_duplicates, quality_model, quality_rules, token_files, warc,
+    benchmark_leaks, boilerplate, byte_bpe, filter_audit, fingerprints, license_scan, mixing, near_duplicates, quality_model,
+    quality_rules, spelling, token_files, warc,
 )
-from tallywork.session import scratch_path
+from tallywork.session import scratch_path, write_scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -337,3 +338,128 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     archive = scratch_path(spark, "archive")
     warc.archive_pages(table(spark, folder, "pages"), archive)
     return warc.read_archive(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP11_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP11_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_OP11_WORDS} AS w FROM documents
+), item AS (
+  SELECT item_id, w, least(len(w), 10) AS l FROM (SELECT item_id, {_OP11_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+), win AS (
+  SELECT DISTINCT item_id, l, w[i:i + l - 1] AS words FROM (SELECT item_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM item)
+), place AS (
+  SELECT rid, i, l, w[i:i + l - 1] AS words
+  FROM (SELECT rid, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM win) WHERE len(w) >= l)
+), found AS (
+  SELECT rid, i, l, item_id FROM place JOIN win USING (l, words)
+), hit AS (
+  SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + l)) AS at FROM found) GROUP BY rid
+), named AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
+"""
+
+
+@query("op11_benchmark_leaks", _OP11_SQL)
+def op11_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    leaks = benchmark_leaks.find_leaks(as_pages(table(spark, folder, "documents")), table(spark, folder, "benchmark"))
+    return as_documents(leaks).select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+SLIP_EVERY = 31  # planted slips of the pen, by which the query's contract tests the grouping
+
+_OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+                          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))
+), run AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents) WHERE length(r) >= 7 GROUP BY ALL
+), signed AS (
+  SELECT r, n, xor(list_reduce(list_concat([4294967295], list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+                               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS s
+  FROM (SELECT r, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r)) AS h FROM run), crc
+), v AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN s % 31 = 0 THEN substr(r, 1, s % length(r)) || substr(r, s % length(r) + 2) ELSE r END AS word FROM signed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), less AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+), near AS (
+  SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN v b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN v b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS most FROM near GROUP BY word
+), judged AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * v.n THEN other END AS form, CASE WHEN most >= 10 * v.n THEN most END AS form_n
+  FROM v LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS root FROM judged
+  UNION ALL SELECT walk.word, j.form FROM walk JOIN judged j ON j.word = walk.root WHERE j.form IS NOT NULL
+)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM judged
+JOIN (SELECT walk.word, root FROM walk JOIN judged j ON j.word = root WHERE j.form IS NULL) USING (word)
+"""
+
+
+@query("op12_spelling_variants", _OP12_SQL)
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelling.count_words(as_pages(table(spark, folder, "documents")), slip_every=SLIP_EVERY)
+    return spelling.spelling_groups(write_scratch(words, "words"))
+
+
+_OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN first_id IS NOT NULL AND (d.doc_id IS NULL OR d.doc_id > first_id) THEN 'E' ELSE '' END AS failed
+  FROM d LEFT JOIN l USING (doc_id)
+), p AS (
+  SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL
+), letter AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT filter_order, k AS step, substr(filter_order, k, 1) AS x FROM o, (SELECT unnest(range(1, 6)) AS k)
+), j AS (
+  SELECT *, contains(failed, x) AS fails,
+         coalesce((SELECT min(i) FROM (SELECT unnest(range(1, 6)) AS i) WHERE contains(failed, substr(filter_order, i, 1))), 6) AS goes
+  FROM p, s
+), r AS (
+  SELECT part, filter_order, step, x, sum(CASE WHEN goes > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN goes = step THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN fails AND goes < step THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failed = x THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN goes = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN goes = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM j GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+@query("op13_filter_audit", _OP13_SQL)
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    pages = as_pages(table(spark, folder, "documents"), F.col("source").alias("site"))
+    labels = table(spark, folder, "labels").withColumnRenamed("doc_id", "page_id")
+    return filter_audit.audit_filters(pages, labels).withColumnRenamed("site", "part")
