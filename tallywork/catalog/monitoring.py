@@ -10,6 +10,7 @@ from tallywork.catalog.reporting import DAILY, daily_activity
 from tallywork.catalog.statistical import BOX
 from tallywork.functions.dates import day_name
 from tallywork.plans import fitness, network
+from tallywork.session import scratch_path
 from tallywork.streaming import monitor
 
 def _day():
@@ -182,6 +183,27 @@ def _(t: Tables):
     return _zone_free(monitor.run_available(suspects, "suspects"))
 
 
+# Two arrivals, each run to its end and stopped; the second goes on from the checkpoint. The last buckets stay open.
+@query("stream_spikes", "D11 D7", """
+    WITH c AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, count(*) AS count FROM events GROUP BY ALL),
+    g AS (SELECT event_type, unnest(generate_series(min(bucket), max(bucket), INTERVAL 1 HOUR)) AS bucket FROM c GROUP BY event_type),
+    s AS (SELECT event_type, bucket, coalesce(count, 0) AS count, count(*) OVER before AS n, avg(coalesce(count, 0)) OVER before AS mean,
+                 sqrt(greatest(avg(coalesce(count, 0) * coalesce(count, 0)) OVER before - pow(avg(coalesce(count, 0)) OVER before, 2), 0)) AS deviation
+          FROM g LEFT JOIN c USING (event_type, bucket)
+          WINDOW before AS (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT event_type, bucket, count, round(mean, 4) AS mean, round(deviation, 4) AS deviation, round((count - mean) / nullif(deviation, 0), 4) AS z
+    FROM s WHERE n >= 24 AND count > 0 AND (count - mean) / nullif(deviation, 0) > 2
+      AND bucket + INTERVAL 2 HOUR <= (SELECT max(bucket) FROM c)""")
+def _(t: Tables):
+    arrived, progress = scratch_path(t.spark, "arrivals"), scratch_path(t.spark, "spikes")
+    day = F.dayofmonth("ts")
+    for part in (day <= 15, day > 15):
+        t.events.filter(part).write.mode("append").parquet(arrived)
+        events = monitor.read_event_stream(t.spark, arrived, t.events.schema)
+        found = monitor.run_available(monitor.spikes(events, "ts", "event_type", "1 hour", "2 hours", k=2.0), "spikes", progress)
+    return rounded(_zone_free(found), 4)
+
+
 @query("stream_deduplicated", "D11 A16", "SELECT event_id, ts, event_type FROM events")
 def _(t: Tables):
     stream = _event_stream(t).select("event_id", "ts", "event_type")
