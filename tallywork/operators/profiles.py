@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywork.operators.quantiles import (
-    QUARTILES, WEIGHT, count_values, histogram_quantiles, quantiles, store_histogram, widen,
-)
+from tallywork.operators.quantiles import QUARTILES, column_quantiles, quantiles, widen
 from tallywork.operators.sets import union_all
 
 
@@ -74,11 +72,7 @@ def _column_quantiles(numbers: DataFrame, cols: Sequence[str], approx: bool) ->
         parts = [quantiles(numbers.select(F.lit(i).alias("no"), F.col(c).alias("value")), "value",
                            QUARTILES, ["no"], approx=True) for i, c in enumerate(cols)]
         return union_all(parts)
-    # each column is counted on its own, a narrow scan; the counts share one ordered table
-    counts = [count_values(numbers, c).select(F.lit(i).alias("no"), F.col(c).alias("value"), WEIGHT)
-              for i, c in enumerate(cols)]
-    stored = store_histogram(union_all(counts), "value", ["no"])
-    return histogram_quantiles(stored, "value", QUARTILES, ["no"])
+    return column_quantiles(numbers, cols, QUARTILES)
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:

@@ -14,9 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywork.operators.joins import join_on
-from tallywork.operators.quantiles import (
-    QUARTILES, WEIGHT, count_values, histogram_quantiles, store_histogram, widen,
-)
+from tallywork.operators.quantiles import QUARTILES, quantiles, widen
 from tallywork.session import write_scratch
 
 # executors get this module's functions with the task and need no copy of the package
@@ -53,13 +51,14 @@ def regression_line(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) ->
     )
 
 
-def _fences(quartile_rows: DataFrame, keys: Sequence[str], reach: float) -> DataFrame:
-    wide = widen(quartile_rows, keys, _FENCES)
+def _fences(df: DataFrame, group: str, value: str, reach: float) -> DataFrame:
+    """(group, q1, median, q3, low_fence, high_fence), written: its size decides how it is joined."""
+    wide = widen(quantiles(df, value, QUARTILES, [group]), [group], _FENCES)
     spread = F.col("q3") - F.col("q1")
-    return wide.withColumns({
+    return write_scratch(wide.withColumns({
         "low_fence": F.col("q1") - reach * spread,
         "high_fence": F.col("q3") + reach * spread,
-    })
+    }), "fences")
 
 
 def _beyond(value: str) -> Column:
@@ -69,29 +68,22 @@ def _beyond(value: str) -> Column:
 def box_summary(df: DataFrame, group: str, value: str, reach: float = 1.5) -> DataFrame:
     """(group, n, q1, median, q3, low_whisker, high_whisker, outliers).
 
-    Whiskers are the farthest values within ``reach`` interquartile ranges of the box. Both passes
-    work on the value counts written once, not on the rows.
+    Whiskers are the farthest values within ``reach`` interquartile ranges of the box.
     """
-    df = df.filter(F.col(group).isNotNull())
-    stored = store_histogram(count_values(df, value, [group]), value, [group])
-    fences = _fences(histogram_quantiles(stored, value, QUARTILES, [group]), [group], reach)
-    fences = write_scratch(fences, "fences")  # its size decides how it is joined
-    fenced = join_on(stored, fences, [group], na_matches=False)
+    known = df.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).select(group, value)
+    fenced = join_on(known, _fences(known, group, value, reach), [group], na_matches=False)
     inside = F.when(~_beyond(value), F.col(value))
     return fenced.groupBy(group).agg(
-        F.sum(WEIGHT).alias("n"),
+        F.count(F.lit(1)).alias("n"),
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
         F.min(inside).alias("low_whisker"), F.max(inside).alias("high_whisker"),
-        F.coalesce(F.sum(F.when(_beyond(value), F.col(WEIGHT))), F.lit(0)).alias("outliers"),
+        F.count_if(_beyond(value)).alias("outliers"),
     )
 
 
 def outliers(df: DataFrame, group: str, value: str, reach: float = 1.5) -> DataFrame:
     """The rows beyond the fences of their group."""
-    counts = count_values(df.filter(F.col(group).isNotNull()), value, [group])
-    stored = store_histogram(counts, value, [group])
-    fences = _fences(histogram_quantiles(stored, value, QUARTILES, [group]), [group], reach)
-    fences = write_scratch(fences.select(group, "low_fence", "high_fence"), "fences")
+    fences = _fences(df.filter(F.col(group).isNotNull()), group, value, reach).select(group, "low_fence", "high_fence")
     return join_on(df, fences, [group], na_matches=False).filter(_beyond(value)).select(*df.columns)
 
 

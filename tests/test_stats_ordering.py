@@ -142,3 +142,53 @@ def test_ranks_by_count(spark):
     df = spark.createDataFrame([(v,) for v in "aabbbcd"] + [(None,)], "v string")
     assert sorted(rows(O.rank_by_count(df, "v")), key=lambda r: r[2]) == [("b", 3, 0), ("a", 2, 1), ("c", 1, 2), ("d", 1, 3)]
     assert rows(O.values_at_ranks(df, "v", [1, 3, 9])) == [(1, "a"), (3, "d")]
+
+
+def _skewed(spark, rows_=20_000):
+    df = spark.range(rows_).selectExpr(
+        "CASE WHEN id % 3 < 2 THEN 'hot' WHEN id % 30 = 2 THEN NULL ELSE concat('k', id % 7) END AS k",
+        "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 4 = 0 THEN 5.0D ELSE (hash(id) % 100000) / 7.0D END AS v")
+    groups = {}
+    for k, v in df.collect():
+        groups.setdefault(k, []).extend([] if v is None else [v])
+    return df, {k: g for k, g in groups.items() if g}
+
+
+@pytest.mark.parametrize("wrong", ["right", "too high", "too low", "narrow", "nothing"])
+@pytest.mark.parametrize("bracket_rows", [1 << 20, 10])
+def test_quantiles_whatever_the_sketch_says(spark, monkeypatch, wrong, bracket_rows):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(Q, "BRACKET_ROWS", bracket_rows)
+    monkeypatch.setattr(Q, "SMALL_GROUP", 0)
+    monkeypatch.setattr(Q, "SMALL_TABLE", 0)
+    sketch = Q._sketch
+    edges = {"right": sketch, "too high": lambda c, probs, a: F.transform(sketch(c, probs, a), lambda x: x + 1e6),
+             "too low": lambda c, probs, a: F.transform(sketch(c, probs, a), lambda x: x - 1e6),
+             "narrow": lambda c, probs, a: F.transform(sketch(c, probs, a), lambda x: F.lit(5.0)),
+             "nothing": lambda c, probs, a: F.transform(sketch(c, probs, a), lambda x: F.lit(None).cast("double"))}
+    monkeypatch.setattr(Q, "_sketch", edges[wrong])
+    df, groups = _skewed(spark)
+    probs = [0.0, 0.25, 0.5, 0.999, 1.0]
+    got = {(k, p): q for k, p, q in rows(Q.quantiles(df, "v", probs, ["k"]))}
+    assert set(got) == {(k, p) for k in groups for p in probs}
+    assert all(abs(q - np.quantile(groups[k], p)) < 1e-9 for (k, p), q in got.items())
+    everything = [v for g in groups.values() for v in g]
+    overall = rows(Q.column_quantiles(df.selectExpr("v", "-v AS w"), ["v", "w"], probs))
+    assert len(overall) == 10
+    assert all(abs(q - np.quantile(everything if no == 0 else [-v for v in everything], p)) < 1e-9 for no, p, q in overall)
+
+
+def test_quantiles_write_little(spark, tmp_path):
+    from tallywork.session import SCRATCH_SETTING
+
+    def size(folder):
+        return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    spark.range(400_000).selectExpr("id % 3 AS k", "rand(7) AS v").write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get(SCRATCH_SETTING, None)
+    spark.conf.set(SCRATCH_SETTING, str(tmp_path / "scratch"))
+    try:
+        S.box_summary(spark.read.parquet(str(tmp_path / "in")), "k", "v").collect()
+    finally:
+        spark.conf.unset(SCRATCH_SETTING) if before is None else spark.conf.set(SCRATCH_SETTING, before)
+    assert 0 < size(tmp_path / "scratch") < 0.1 * size(tmp_path / "in")
