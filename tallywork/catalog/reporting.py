@@ -331,7 +331,9 @@ _LABEL_SQL = {
         FROM ({_LABELLED})""",
     "success_rate": f"""WITH {_OUTCOMES} SELECT round(avg("Class"), 2) AS success_rate FROM ({_LABELLED})""",
 }
-_report("launch_labels", "R8", _LABEL_SQL, lambda t: launch_plans.launch_labelling(outcomes(t)))
+for _name, _sql in _LABEL_SQL.items():
+    query(f"launch_labels_{_name}", "R8", _sql)(
+        lambda t, name=_name: longs(rounded(launch_plans.launch_labelling(outcomes(t), only=[name])[name], 2)))
 
 
 _ASKED = dict(site_prefix="RED", customer="BUILDING", booster="Brand#11", ground_success="A", ship_success="R",

@@ -15,10 +15,11 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 # executors get this module's functions with the task and need no copy of the package
 register_pickle_by_value(sys.modules[__name__])
 
+FRAME_CELLS = 4096
+
 
 class _Cells(HTMLParser):
     """Collects (table, row, column, is_header, text) of every cell, tables numbered as they open.
@@ -108,14 +109,19 @@ def _cells(html: str | None) -> list[tuple[int, int, int, bool, str]]:
 def html_cells(pages: DataFrame, html: str, page_id: str) -> DataFrame:
     """(page_id, table_no, row_no, col_no, is_header, text), all numbers from 0."""
 
+    names = [page_id, "table_no", "row_no", "col_no", "is_header", "text"]
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
         for batch in batches:
             for page, source in zip(batch[page_id], batch[html], strict=True):
-                cells = _cells(source)
-                for at in range(0, len(cells), 4096):  # a page at a time, a large one in slices
-                    yield pd.DataFrame(
-                        [(page, *cell) for cell in cells[at:at + 4096]],
-                        columns=[page_id, "table_no", "row_no", "col_no", "is_header", "text"])
+                held.extend((page, *cell) for cell in _cells(source))
+                whole = len(held) - len(held) % FRAME_CELLS
+                for at in range(0, whole, FRAME_CELLS):  # many small pages in a frame, a large one in several
+                    yield pd.DataFrame(held[at:at + FRAME_CELLS], columns=names)
+                del held[:whole]
+        if held:
+            yield pd.DataFrame(held, columns=names)
 
     kind = pages.schema[page_id].dataType.simpleString()
     # pages without any table never cross into Python

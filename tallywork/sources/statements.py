@@ -9,14 +9,13 @@ STATEMENTS = {
     "values": "SELECT DISTINCT IDENTIFIER(:column) FROM IDENTIFIER(:table)",
     # a prefix is text, not a pattern: % and _ stand for themselves
     "starting": """
-        FROM IDENTIFIER(:table) |> WHERE startswith(lower(IDENTIFIER(:column)), lower(:prefix)) |> ORDER BY ALL |> LIMIT 5""",
+        FROM IDENTIFIER(:table) |> WHERE startswith(lower(IDENTIFIER(:column)), lower(:prefix)) |> ORDER BY ALL |> LIMIT :rows""",
     "figures": """
         FROM IDENTIFIER(:table) |> WHERE IDENTIFIER(:key) = :value
         |> AGGREGATE sum(IDENTIFIER(:number)) AS total, avg(IDENTIFIER(:number)) AS mean, min(IDENTIFIER(:day)) AS first_day""",
     "values_within": """
-        FROM IDENTIFIER(:table) |> WHERE IDENTIFIER(:key) = :value
-        |> AGGREGATE count_if(IDENTIFIER(:number) > :above AND IDENTIFIER(:number) < :below) AS hits GROUP BY IDENTIFIER(:column)
-        |> WHERE hits > 0 |> DROP hits""",
+        FROM IDENTIFIER(:table) |> WHERE IDENTIFIER(:key) = :value AND IDENTIFIER(:number) > :above AND IDENTIFIER(:number) < :below
+        |> SELECT DISTINCT IDENTIFIER(:column)""",
     "tally": "FROM IDENTIFIER(:table) |> AGGREGATE count(*) AS n GROUP BY IDENTIFIER(:column)",
     "tally_between": """
         FROM IDENTIFIER(:table) |> WHERE IDENTIFIER(:day) BETWEEN :first AND :last
