@@ -29,6 +29,9 @@ SAFE_CUT = re.compile(
     r"(?<=\S)(?=[ \t\n\r])|(?<=[A-Za-z])(?=[0-9!-/:-@\[-`{-~])|(?<=[0-9])(?=[A-Za-z!-/:-@\[-`{-~])"
     r"|(?<=[!-&(-/:-@\[-`{-~])(?=[A-Za-z0-9])|(?<=')(?=[0-9])")
 
+#: White space as the pattern has it, in runs that its backtracking can't be trusted with.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_TEXT)
+
 
 def safe_pieces(text: str, size: int = LONG_TEXT) -> Iterator[str]:
     """``text`` in pieces of ``size`` characters or a little more, cut at the next safe place.
@@ -58,9 +61,17 @@ def load_encoding(path: str, pattern: str):
 
 
 def encode_text(encoding, text: str) -> list[int]:
+    """The ids of the whole text. Of a very long run of white space the pattern makes one match, less its last character if
+    something else follows; that match is encoded as its bytes, and the text before and after it apart."""
     if len(text) <= LONG_TEXT:
         return encoding.encode_ordinary(text)
-    return [i for piece in safe_pieces(text) for i in encoding.encode_ordinary(piece)]
+    ids, at = [], 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += [i for piece in safe_pieces(text[at:run.start()]) for i in encoding.encode_ordinary(piece)]
+        ids += encoding._encode_single_piece(text[run.start():end].encode())
+        at = end
+    return ids + [i for piece in safe_pieces(text[at:]) for i in encoding.encode_ordinary(piece)]
 
 
 def _with_column(df: DataFrame, name: str, source: str, ranks: str, pattern: str, convert, keep: list[str]) -> DataFrame:
@@ -92,8 +103,9 @@ def encode_pages(pages: DataFrame, ranks: str, pattern: str, *keep: str) -> Data
 
     ``ranks`` is the path of the rank file, the same on every worker; ``pattern`` splits the text before merging.
     Special tokens are not known: their strings are ordinary text. ``ids`` holds little-endian unsigned 32-bit
-    integers. Missing and empty texts have no ids. Rows stay where they are: no shuffle; memory is one batch of texts and
-    the ids of ROWS_AT_ONCE of them.
+    integers. Missing and empty texts have no ids, repeated rows repeated ids, an empty table gives an empty one. Very long
+    texts are encoded whole, in pieces (:func:`encode_text`). Rows stay where they are: no shuffle; memory is one batch of
+    texts and the ids of ROWS_AT_ONCE of them.
     """
     texts = page_texts(pages, *(c for c in keep if c != "html"))
     encoded = _with_column(texts, "ids", "html", ranks, pattern, _ids, ["page_id", *keep])
