@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywork.llm.common import page_texts, text_of
+from tallywork.session import write_scratch
 
 register_pickle_by_value(sys.modules[__name__])
 
@@ -91,6 +92,31 @@ class Network:
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30))))
 
 
+def gradient(
+    net: Network, raws: list[np.ndarray], repeats: list[np.ndarray], y: np.ndarray, weight: np.ndarray
+) -> tuple[dict[str, np.ndarray], float]:
+    """The gradient of the texts' weighted log loss by the network's arrays and its bias."""
+    grads = {n: np.zeros_like(getattr(net, n)) for n in ("embedding", "filters", "filter_bias", "weights")}
+    grad_bias = 0.0
+    for raw, repeated, label, share in zip(raws, repeats, y, weight, strict=True):
+        x, where = net.features(raw, repeated)
+        z = float(np.clip(x @ net.weights + net.bias, -30, 30))
+        error = float((1 / (1 + np.exp(-z)) - label) * share)
+        grads["weights"] += error * x
+        grad_bias += error
+        for k in np.flatnonzero(where >= 0):
+            delta, begin = error * net.weights[k], where[k] * STRIDE
+            seen = raw[begin:begin + WIDTH]
+            window = np.zeros((WIDTH, CHANNELS), "float32")
+            window[:seen.size, :-1] = net.embedding[seen]
+            window[:seen.size, -1] = repeated[begin:begin + WIDTH]
+            grads["filters"][:, k] += delta * window.ravel()
+            grads["filter_bias"][k] += delta
+            back = delta * net.filters[:, k].reshape(WIDTH, CHANNELS)[:seen.size, :-1]
+            np.add.at(grads["embedding"], seen, back)
+    return grads, grad_bias
+
+
 def fit(texts: list[str], labels: list[int], rounds: int = 12, rate: float = 0.01, decay: float = 1e-4, seed: int = 0) -> Network:
     """A network fitted to whole texts by Adam, one batch of 16 texts at a time, both labels weighing the same.
 
@@ -113,25 +139,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = 12, rate: float = 0.0
     for _ in range(rounds):
         order = rng.permutation(len(raws))
         for at in range(0, len(order), batch):
-            grads = {n: np.zeros_like(getattr(net, n)) for n in names}
-            grad_bias = 0.0
             some = order[at:at + batch]
-            for i in some:
-                x, where = net.features(raws[i], repeats[i])
-                z = float(np.clip(x @ net.weights + net.bias, -30, 30))
-                error = float((1 / (1 + np.exp(-z)) - y[i]) * balance[i] / len(some))
-                grads["weights"] += error * x
-                grad_bias += error
-                for k in np.flatnonzero(where >= 0):
-                    delta, begin = error * net.weights[k], where[k] * STRIDE
-                    seen = raws[i][begin:begin + WIDTH]
-                    window = np.zeros((WIDTH, CHANNELS), "float32")
-                    window[:seen.size, :-1] = net.embedding[seen]
-                    window[:seen.size, -1] = repeats[i][begin:begin + WIDTH]
-                    grads["filters"][:, k] += delta * window.ravel()
-                    grads["filter_bias"][k] += delta
-                    back = delta * net.filters[:, k].reshape(WIDTH, CHANNELS)[:seen.size, :-1]
-                    np.add.at(grads["embedding"], seen, back)
+            grads, grad_bias = gradient(net, [raws[i] for i in some], [repeats[i] for i in some], y[some], balance[some] / len(some))
             step += 1
             now = rate * (1 - step / (total + 1))
             for n in names:
@@ -146,27 +155,46 @@ def fit(texts: list[str], labels: list[int], rounds: int = 12, rate: float = 0.0
     return net
 
 
-def fit_quality(pages: DataFrame, labels: DataFrame, rows_a_label: int = 1000, most_bytes: int = 1 << 16, seed: int = 0) -> Network:
+def fit_quality(pages: DataFrame, labels: DataFrame, rows_a_label: int = 1000, bytes_a_label: int = 1 << 25, seed: int = 0) -> Network:
     """The network for ``pages(page_id, html)`` and ``labels(page_id, quality)``, quality being 0 or 1.
 
-    Fitted on a bounded sample, on the driver: for each label the ``rows_a_label`` labelled pages of up to ``most_bytes``
-    bytes that come first by a hash of page_id, whole texts. Labels of other values, or missing, aren't used; a page
-    with contradictory labels counts for both. Nothing but the text goes into the network.
+    Fitted on a bounded sample, on the driver: of each label, apart, up to ``rows_a_label`` labelled pages, whole texts of together
+    up to ``bytes_a_label`` bytes, in the order of a hash of page_id and text; a text that no longer fits is passed over.
+    Labels of other values, or missing, aren't used, nor pages without an id; a page with contradictory labels counts
+    for both. Repeated rows count once, pages of one id and different texts each. Without pages or labels
+    the network knows no more than :func:`fit` says. Nothing but the text goes into the network.
     """
-    texts = page_texts(pages).filter(F.octet_length("html") <= most_bytes)
-    known = labels.filter("quality IN (0, 1) AND page_id IS NOT NULL").select("page_id", F.col("quality").cast("int").alias("quality"))
-    first = [F.xxhash64("page_id", F.lit(seed)), F.col("page_id")]
-    # bounded: rows_a_label rows of two columns for each label, then their texts
-    chosen = known.filter("quality = 1").orderBy(*first).limit(rows_a_label).unionByName(
-        known.filter("quality = 0").orderBy(*first).limit(rows_a_label))
-    rows = texts.join(F.broadcast(chosen), "page_id").orderBy("quality", *first, "html").limit(4 * rows_a_label).collect()
-    return fit([r["html"] for r in rows], [r["quality"] for r in rows], seed=seed)
+    texts = page_texts(pages).filter("page_id IS NOT NULL")
+    known = labels.filter("quality IN (0, 1)").select(F.col("page_id").alias("label_id"), F.col("quality").cast("int").alias("quality")).distinct()
+    first = [F.xxhash64("label_id", F.lit(seed)), F.col("label_id")]
+    named = known.filter("quality = 1").orderBy(*first).limit(rows_a_label).unionByName(
+        known.filter("quality = 0").orderBy(*first).limit(rows_a_label))  # bounded: rows of two columns
+    digest = F.sha2("html", 256)
+    places = write_scratch(texts.join(F.broadcast(named), F.col("page_id") == F.col("label_id")).select(
+        "page_id", "quality", F.xxhash64("page_id", "html", F.lit(seed)).alias("draw"), digest.alias("digest"),
+        F.octet_length("html").alias("bytes")).distinct(), "labelled")
+    chosen = []
+    for label in (0, 1):
+        left = bytes_a_label
+        for r in places.filter(F.col("quality") == label).orderBy("draw", "page_id", "digest").limit(rows_a_label).collect():
+            if r["bytes"] <= left:
+                chosen.append((r["page_id"], label, r["digest"]))
+                left -= r["bytes"]
+    sample: list[tuple[str, int]] = []
+    if chosen:
+        kind = pages.schema["page_id"].dataType.simpleString()
+        wanted = pages.sparkSession.createDataFrame(chosen, f"label_id {kind}, quality int, digest string")
+        rows = texts.join(F.broadcast(wanted), (F.col("page_id") == F.col("label_id")) & (digest == F.col("digest"))).dropDuplicates(
+            ["page_id", "quality", "digest"]).orderBy("quality", *first, "digest").collect()
+        sample = [(r["html"], r["quality"]) for r in rows]
+    return fit([html for html, _ in sample], [label for _, label in sample], seed=seed)
 
 
 def score_column(html: Column, network: Network) -> Column:
     """The chance that the whole text is good; missing and empty texts get the score of an empty text.
 
-    The network (some thousand numbers) travels with the tasks; rows stay where they are.
+    Equal texts get equal scores, in every row in which they stand; a table without rows gives none. Further columns stay as
+    they are. Very long texts are read in pieces of BYTES_AT_ONCE. The network (some thousand numbers) travels with the tasks; rows stay where they are.
     """
     parts = network.embedding, network.filters, network.filter_bias, network.weights, network.bias
 
@@ -180,5 +208,5 @@ def score_column(html: Column, network: Network) -> Column:
 
 
 def score_pages(pages: DataFrame, network: Network) -> DataFrame:
-    """(page_id, score) for each row of ``pages(page_id, html)``, by :func:`score_column`."""
+    """(page_id, score) for each row of ``pages(page_id, html)``, repeated rows included, by :func:`score_column`."""
     return pages.select("page_id", score_column(F.col("html"), network).alias("score"))

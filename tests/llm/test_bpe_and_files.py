@@ -112,3 +112,19 @@ def test_random_access_equals_the_array():
         file[[0]]
     with pytest.raises(ValueError):
         token_files.TokenFile(b"something else")
+
+
+@pytest.mark.parametrize("space", [" ", "\t", "\n", "\u3000", " \n"])
+@pytest.mark.parametrize("around", ["{}", "x{}", "{}y", "x{}y z{}'s", "{}\x1c{}"])
+def test_long_white_space_as_the_library_has_it(space, around):
+    encoding = byte_bpe.load_encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    text = around.replace("{}", space * (byte_bpe.LONG_TEXT + 1001))
+    assert byte_bpe.encode_text(encoding, text) == encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("space", [" ", "\t", "\n"])
+def test_white_space_beyond_what_the_pattern_bears(space):
+    encoding = byte_bpe.load_encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    for text in (space * 5_000_000, "x" + space * 5_000_000, space * 5_000_000 + "y"):
+        ids = byte_bpe.encode_text(encoding, text)
+        assert encoding.decode(ids) == text
