@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 from tallywork.session import write_scratch
 
 BUCKETS = 4096  # three hexadecimal digits of the draw
+SMALL_ROWS = 100_000  # leaves up to which their table is sent to every task; their names are bounded by NAME_BYTES each
+NAME_BYTES = 256
+SALTS = 64
 
 
 def _same(a: Sequence[str], b: Sequence[str], left: DataFrame, right: DataFrame) -> Column:
@@ -104,8 +107,9 @@ def mix_to_weights(
     kept; names that start with ``mix_`` are the operator's own.
 
     Leaf sizes are grouped in the map tasks. The prefix of a leaf, however large, is found by sums over 4096 ranges of
-    the draw and then within the one range in which the rest runs out. Records themselves aren't moved for it: they
-    are compared with their leaf's last draw. One written table holds (levels, key, size).
+    the draw and then within the one range in which the rest runs out. Records themselves aren't moved: they are compared
+    with their leaf's last draw, which the tasks know (:func:`_with_leaves`; beyond SMALL_ROWS leaves records are
+    shuffled, hot leaves in parts). Written tables hold (levels, key, size) and a row a leaf.
     """
     own = [f"mix_{i}" for i in range(len(levels))]
     light = write_scratch(records.select(
@@ -136,8 +140,9 @@ def mix_to_weights(
         F.min("draw").alias("last"))
     ends = plan.join(last.withColumnsRenamed({c: f"l_{c}" for c in own}), F.expr(
         " AND ".join(f"{c} <=> l_{c}" for c in own)), "left").select(*own, "full", "last")
-    named = ends.withColumnsRenamed({"full": "mix_full", "last": "mix_last"})
-    joined = records.join(named, F.expr(" AND ".join(f"`{c}` <=> {n}" for n, c in zip(own, levels, strict=True))))
+    named = ends.withColumnsRenamed({"full": "mix_full", "last": "mix_last", **{c: f"n_{c}" for c in own}})
+    renamed = {f"n_{c}": f"`{level}`" for c, level in zip(own, levels, strict=True)}
+    joined = _with_leaves(records, write_scratch(named, "mix_ends"), renamed, F.concat_ws("|", *(F.col(c).cast("string") for c in key)))
     text_key = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key))
     own_draw = F.md5(F.concat_ws("|", F.lit(str(seed)), (F.col("mix_full") + 1).cast("string"), text_key))
     times = F.col("mix_full") + F.when(own_draw <= F.col("mix_last"), 1).otherwise(0)
@@ -145,9 +150,24 @@ def mix_to_weights(
     return joined.withColumn("mix_epochs", epochs).select(*records.columns, F.explode("mix_epochs").alias("epoch"))
 
 
+def _with_leaves(rows: DataFrame, leaves: DataFrame, names: Mapping[str, str], spread: Column) -> DataFrame:
+    """``rows`` joined with the written table ``leaves``, a row a leaf; ``names`` maps its columns to those of the rows.
+
+    Up to SMALL_ROWS leaves with names that fit in NAME_BYTES it is sent to the tasks, and rows stay where they are. Otherwise rows
+    of a leaf are spread over SALTS tasks by ``spread``, and the leaf is repeated for each.
+    """
+    size = leaves.agg(F.count(F.lit(1)).alias("rows"), F.sum(sum((
+        F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in names), F.lit(0))).alias("bytes")).first()
+    same = " AND ".join(f"{b} <=> {a}" for a, b in names.items())
+    if size["rows"] <= SMALL_ROWS and (size["bytes"] or 0) <= SMALL_ROWS * NAME_BYTES:
+        return rows.join(F.broadcast(leaves), F.expr(same)).drop(*names)
+    salted = rows.withColumn("mix_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    repeated = leaves.withColumn("mix_leaf_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(repeated, F.expr(f"{same} AND mix_salt = mix_leaf_salt")).drop(*names, "mix_salt", "mix_leaf_salt")
+
+
 def _with_plan(light: DataFrame, plan: DataFrame, own: Sequence[str]) -> DataFrame:
-    renamed = plan.withColumnsRenamed({c: f"p_{c}" for c in own})
-    return light.join(renamed, F.expr(" AND ".join(f"{c} <=> p_{c}" for c in own))).drop(*(f"p_{c}" for c in own))
+    return _with_leaves(light, plan.withColumnsRenamed({c: f"p_{c}" for c in own}), {f"p_{c}": c for c in own}, F.col("mix_key"))
 
 
 def word_count(text: Column) -> Column:

@@ -5,6 +5,9 @@ import itertools
 import re
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from tallywork.llm import license_scan, mixing
 from samples import edge_pages, no_pages  # noqa: F401
 
@@ -174,3 +177,20 @@ def test_rides_mixed_to_weights(spark):
 def test_no_rides(spark):
     rides = spark.createDataFrame([], "ride_id string, rideable_type string, ride_length int")
     assert mixing.mix_to_weights(rides, ["rideable_type"], [{}], ["ride_id"], "ride_length", budget=10).count() == 0
+
+
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_records_of_a_hot_leaf_stay_where_they_are(spark, monkeypatch, small):
+    monkeypatch.setattr(mixing, "SMALL_ROWS", small)
+    rows = [(i, "hot" if i % 10 else f"few{i % 3}", "x" * (i % 7)) for i in range(2000)] + [(5000, None, "y"), (5001, "hot", None), (5001, "hot", None)]
+    records = spark.createDataFrame(rows, "id long, kind string, text string").withColumn("size", F.length("text"))
+    mixed = mixing.mix_to_weights(records, ["kind"], [{"hot": 1}], ["id"], "size", share=(1, 2), max_epochs=2, seed=3)
+    assert mixed.columns == [*records.columns, "epoch"]
+    totals = {r["kind"]: r["s"] for r in mixed.groupBy("kind").agg(F.sum("size").alias("s")).collect()}
+    whole = sum(len(t or "") for _, _, t in rows)
+    caps = {k: (2 * sum(len(t or "") for _, kind, t in rows if kind == k), 1) for k in {k for _, k, _ in rows}}
+    want = plain_share(caps, whole // 2)
+    assert set(totals) <= set(want) and all(0 <= totals[k] - want[k] < 7 for k in totals)
+    if small:
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
