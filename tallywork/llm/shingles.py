@@ -12,7 +12,7 @@ register_pickle_by_value(sys.modules[__name__])
 
 WORDS = 5
 SLICE_CHARACTERS = 1 << 18
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -27,13 +27,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_BYTE = np.where(_SPACE, np.uint64(0), mixed(np.arange(1, 257, dtype="uint64") * _BASE))
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BYTE = np.where(_SPACE, np.uint64(0), mixed(np.arange(1, 257, dtype="uint64") * BASE))
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _STEPS = mixed(np.arange(101, 101 + 16, dtype="uint64")) | np.uint64(1)
-_powers = {_BASE: np.ones(1, "uint64"), _INVERSE: np.ones(1, "uint64")}
+_powers = {BASE: np.ones(1, "uint64"), INVERSE: np.ones(1, "uint64")}
 
 
-def _power(base: np.uint64, count: int) -> np.ndarray:
+def power(base: np.uint64, count: int) -> np.ndarray:
     """The first ``count`` powers of ``base``, kept for the next text."""
     if _powers[base].size < count:
         steps = np.full(max(count, 1 << 16), base, "uint64")
@@ -55,8 +55,8 @@ def word_hashes(text: str) -> np.ndarray:
     if not starts.size:
         return np.zeros(0, "uint64")
     terms = _BYTE[raw]
-    terms *= _power(_BASE, raw.size)
-    return mixed(np.add.reduceat(terms, starts) * _power(_INVERSE, raw.size)[starts])
+    terms *= power(BASE, raw.size)
+    return mixed(np.add.reduceat(terms, starts) * power(INVERSE, raw.size)[starts])
 
 
 def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:

@@ -13,11 +13,13 @@ int64 end of each page's ids within the file.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
 import string
 import sys
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -30,20 +32,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallywork.llm.common import page_texts
+from tallywork.llm.shingles import BASE, INVERSE, mixed, power
 from tallywork.session import write_scratch
 
 register_pickle_by_value(sys.modules[__name__])
 
 MAGIC = b"DACODES1"
 RANK_BLOCK = 512
-CACHED_WORDS = 1 << 18  # with their ids some 50 MB
+CACHED_WORDS = 1 << 20  # with their ids some 40 MB
+SLICE_BYTES = 1 << 20
+LONG_WORD = 256  # bytes from which a word's hash is a digest
 WORDS_AT_ONCE = 64
 #: White space to spaces and ASCII letters to lower case, byte by byte.
 PLAIN = bytes.maketrans(b"\t\n\r" + string.ascii_uppercase.encode(), b"   " + string.ascii_lowercase.encode())
-STOP = re.compile(rb"(?<=[a-z])([.,])(?= |$)")
+BREAK = re.compile(rb"[ \t\n\r]")
 #: Letters of ASCII and of U+00C0 to U+00FF, in UTF-8.
 LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
+# hashes of words: a sum over their bytes by place, in which a space counts 0
+_LETTER = mixed(np.arange(1, 257, dtype="uint64") * BASE)
+_LETTER[32] = 0
+
 
 class TokenFile:
     """Random access to the ids of one file, given as a buffer (bytes or a memory map)."""
@@ -150,8 +159,10 @@ class WordEncoder:
     """Ids of UTF-8 texts whose tokenizer drops white space, ignores case and marks the end of every piece.
 
     Equal to encoding the whole text at once: normalisation (composition, lower case by character) never looks across a
-    space, and a full stop or comma between a letter and a space is a piece of its own. A word met before isn't encoded
-    again; new words of Latin letters are encoded WORDS_AT_ONCE in one text, any other word by itself.
+    space, and a full stop or comma between a letter and a space is a piece of its own. All words of a slice of texts are
+    found and hashed at once and looked up in a sorted table of known hashes; what that doesn't have is encoded, new words of
+    Latin letters WORDS_AT_ONCE in one text, any other word by itself. A table with more than CACHED_WORDS words forgets the half
+    that was used least.
 
     With ``markers`` the strings of the tokenizer's added tokens, as they are written, stand for their ids, which is what the
     library does by default: it cuts a text at them first. Otherwise they are ordinary text.
@@ -173,7 +184,9 @@ class WordEncoder:
         self.ends_piece = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_piece[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.end = np.array([end_id], "<u4").tobytes()
-        self.words: dict[bytes, bytes] = {b"": b""}
+        self.words: dict[bytes, bytes] = {}  # those being learned
+        self.hashes, self.first, self.count = np.zeros(0, "uint64"), np.zeros(0, "int64"), np.zeros(0, "int64")
+        self.used, self.pool, self.pooled = np.zeros(0, "int64"), np.zeros(1 << 16, "uint32"), 0
 
     def _alone(self, words: list[bytes]) -> None:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
@@ -193,29 +206,124 @@ class WordEncoder:
                 self._alone(group)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, with the end id."""
         if self.cut is None:
             return [ids + self.end for ids in self._encode(texts)]
-        # every second part of a text is a marker
-        parts = [self.cut.split(t) for t in texts]
+        # every second part of a text is a marker; hardly any text has one
+        parts = [self.cut.split(t) if b"<" in t else [t] for t in texts]
         between = iter(self._encode([x for some in parts for x in some[::2]]))
         return [b"".join(self.markers[x] if i % 2 else next(between) for i, x in enumerate(some)) + self.end for some in parts]
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.words) > CACHED_WORDS:
-            self.words = {b"": b""}
-        split = [STOP.sub(rb" \1", t.translate(PLAIN)).split(b" ") for t in texts]
-        new = set()
-        for words in split:
-            new.update(words)
-        new = new.difference(self.words)
+        """Slices of about SLICE_BYTES at a time; a longer text is cut at white space, as no word or rule crosses it."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        slice_, owners, size = [], [], 0
+
+        def finish() -> None:
+            nonlocal size
+            for owner, ids in zip(owners, self._encode_slice(slice_), strict=True):
+                out[owner].append(ids)
+            slice_.clear()
+            owners.clear()
+            size = 0
+
+        for owner, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                cut = BREAK.search(text, at + SLICE_BYTES) if len(text) - at > SLICE_BYTES else None
+                end = cut.start() if cut else len(text)
+                slice_.append(text[at:end])
+                owners.append(owner)
+                size += end - at
+                at = end
+                if size >= SLICE_BYTES:
+                    finish()
+        if slice_:
+            finish()
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    def _encode_slice(self, texts: list[bytes]) -> list[bytes]:
+        joined = b" ".join(texts) + b" "
+        low = np.frombuffer(joined.translate(PLAIN), "uint8")
+        solid = low != 32
+        before, after = np.zeros_like(solid), np.zeros_like(solid)
+        before[1:], after[:-1] = solid[:-1], solid[1:]
+        stop = np.isin(low, (44, 46)) & ~after
+        stop[1:] &= (low[:-1] >= 97) & (low[:-1] <= 122)
+        stop[0] = False
+        starts = np.flatnonzero(solid & (~before | stop))
+        stops_next = np.zeros_like(stop)
+        stops_next[:-1] = stop[1:]
+        ends = np.flatnonzero(solid & (~after | stops_next)) + 1
+        place = self._look_up(low, starts, ends)
+        count = self.count[place]
+        reached = np.concatenate([[0], np.cumsum(count)])
+        ids = self.pool[np.repeat(self.first[place] - reached[:-1], count) + np.arange(reached[-1])]
+        text_ends = np.cumsum([len(t) + 1 for t in texts])
+        cuts = [0, *reached[np.searchsorted(starts, text_ends)].tolist()]
+        raw = ids.astype("<u4").tobytes()
+        if len(self.hashes) > CACHED_WORDS:
+            self._forget()
+        return [raw[4 * x:4 * y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _look_up(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The place in the table of each word; new ones are learned first."""
+        if not starts.size:
+            return np.zeros(0, "int64")
+        terms = _LETTER[low]
+        terms *= power(BASE, low.size)
+        hashes = np.add.reduceat(terms, starts) * power(INVERSE, low.size)[starts]
+        lengths = ends - starts
+        hashes = mixed(hashes + lengths.astype("uint64") * BASE)
+        for i in np.flatnonzero(lengths > LONG_WORD):
+            hashes[i] = int.from_bytes(hashlib.blake2b(low[starts[i]:ends[i]].tobytes(), digest_size=8).digest(), "little")
+        place = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(place.size, bool)
+        inside = place < self.hashes.size
+        known[inside] = self.hashes[place[inside]] == hashes[inside]
+        if not known.all():
+            fresh = np.flatnonzero(~known)
+            new, first = np.unique(hashes[fresh], return_index=True)
+            at = fresh[first]
+            words = [low[x:y].tobytes() for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            self._learn(new, words)
+            place = np.searchsorted(self.hashes, hashes)
+        self.used += np.bincount(place, minlength=self.used.size)
+        return place
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         letters, other = [], []
-        for word in new:
+        for word in words:
             (letters if LATIN.fullmatch(word) else other).append(word)
         for learn, some in ((self._together, letters), (self._alone, other)):
             for i in range(0, len(some), 1024):
                 learn(some[i:i + 1024])
-        ids = self.words.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
+        found = [self.words[w] for w in words]
+        self.words = {}
+        count = np.array([len(x) // 4 for x in found])
+        ids = np.frombuffer(b"".join(found), "<u4")
+        if self.pooled + ids.size > self.pool.size:
+            self.pool = np.concatenate([self.pool[:self.pooled], np.zeros(self.pooled + ids.size, "uint32")])
+        self.pool[self.pooled:self.pooled + ids.size] = ids
+        at = np.searchsorted(self.hashes, hashes)
+        self.first = np.insert(self.first, at, self.pooled + np.cumsum(count) - count)
+        self.hashes, self.count, self.used = (np.insert(x, at, y) for x, y in ((self.hashes, hashes), (self.count, count), (self.used, 0)))
+        self.pooled += ids.size
+
+    def _forget(self) -> None:
+        keep = np.sort(np.argsort(-self.used, kind="stable")[:CACHED_WORDS // 2])
+        self.hashes, count, first = self.hashes[keep], self.count[keep], self.first[keep]
+        start = np.cumsum(count) - count
+        self.pool = self.pool[np.repeat(first - start, count) + np.arange(count.sum())]
+        self.first, self.count, self.used, self.pooled = start, count, self.used[keep] // 2, int(count.sum())
+
+
+def kept_encoder(*settings) -> WordEncoder:
+    """The encoder of these settings, kept in the worker process from task to task with the words that it knows."""
+    held = sys.modules.setdefault("_tallywork_encoders", types.ModuleType("_tallywork_encoders")).__dict__
+    if settings not in held:
+        held[settings] = WordEncoder(*settings)
+    return held[settings]
 
 
 def _file_system(folder: str):
@@ -250,7 +358,7 @@ def write_token_files(
         from pyspark import TaskContext
 
         part, place = TaskContext.get().partitionId(), 0
-        encoder, (system, root) = WordEncoder(tokenizer_path, end_id, markers), _file_system(folder)
+        encoder, (system, root) = kept_encoder(tokenizer_path, end_id, markers), _file_system(folder)
         held: list[bytes] = []
         page_ids: list[int | None] = []
         ends: list[int] = []
@@ -270,8 +378,8 @@ def write_token_files(
             return row
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                some = batch.slice(i, 64)
+            for i in range(0, batch.num_rows, 1024):
+                some = batch.slice(i, 1024)
                 encoded = encoder.encode(some.column("html").to_pylist())
                 for page_id, ids in zip(some.column("page_id").to_pylist(), encoded, strict=True):
                     held.append(ids)
