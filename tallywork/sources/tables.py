@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import csv
+import re
+import sys
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +18,10 @@ from pyspark.sql import types as T
 from tallywork.operators.columns import nulls_for_nans
 from tallywork.operators.numbering import renumber
 from tallywork.operators.sets import union_all
+from tallywork.sources.json_arrays import array_records
+
+# executors get this module's functions with the task and need no copy of the package
+register_pickle_by_value(sys.modules[__name__])
 
 
 def read_table(
@@ -36,25 +47,75 @@ def read_table(
     return nulls_for_nans(reader.format(fmt).load(path if isinstance(path, str) else list(path)))
 
 
+def _first_lines(large: int):
+    """Rows (value, path, start, length) of a task's files to the first line of each file that starts here.
+
+    A split of ``large`` bytes or more is alone in its task and is left after its first batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            path, start, length = batch.column(1), batch.column(2), batch.column(3)
+            changed = pc.or_(pc.invert(pc.equal(path.slice(1), path.slice(0, batch.num_rows - 1))), False)
+            first = pa.concat_arrays([pa.array([path[0].as_py() != seen]), changed])
+            yield batch.filter(pc.and_(first, pc.equal(start, 0))).select([0, 1])
+            seen = path[batch.num_rows - 1].as_py()
+            if length[0].as_py() >= large:
+                return
+
+    return run
+
+
+def headers_of_files(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, list[str]]]:
+    """The different first lines of all files below ``paths``, each with the files that have it, in one job.
+
+    Of a large file only the first lines of each split are read. The driver gets the names of the files, which it
+    lists for any scan.
+    """
+    rows = spark.read.text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.col("_metadata.file_block_length").alias("length"))
+    large = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    lines = rows.mapInArrow(_first_lines(int(large)), "value string, path string")
+    found = lines.groupBy("value").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+    return sorted((r["value"], [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(p)) for p in r["paths"]]) for r in found)
+
+
+def _columns_of(spark: SparkSession, line: str, path: str, options: dict) -> tuple[str, ...]:
+    """The column names in a header; with options that concern the format the CSV source itself says them."""
+    if set(options) <= {"sep", "delimiter"}:
+        (names,) = csv.reader([line.removeprefix("\ufeff")], delimiter=options.get("sep", options.get("delimiter", ",")))
+        if all(names) and len({n.lower() for n in names}) == len(names):
+            return tuple(names)
+    return tuple(spark.read.options(**options).option("header", True).csv(path).columns)
+
+
 def read_csv(
     spark: SparkSession, paths: Sequence[str], schema: str | T.StructType, malformed: str = "fail", **options
 ) -> DataFrame:
     """The columns of ``schema`` from CSV files or folders with a header, bound by name.
 
-    A column that a header doesn't have is an error, and so is a file within a folder whose header differs from
-    the folder's first. Paths whose headers differ are read apart and stacked by name; those that agree
-    are one scan. ``malformed`` says what becomes of a record whose cells don't fit their types: "fail" stops the
+    A column that a header doesn't have is an error. Files whose headers differ, also within a folder, are read apart and
+    stacked by name; those that agree are one scan. The headers of all files are found in one job
+    (:func:`headers_of_files`), so that the number of jobs follows that of different headers, not of files. Files
+    without a line hold no rows. ``malformed`` says what becomes of a record whose cells don't fit their types: "fail" stops the
     read, "null" makes the cells NULL, any other word names a column that receives the record's text.
     """
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     types = {f.name: f for f in wanted.fields}
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:  # reads one line of each path
-        header = tuple(spark.read.options(**options).option("header", True).csv(path).columns)
+    for line, files in headers_of_files(spark, paths):
+        header = _columns_of(spark, line, files[0], options)
         absent = [name for name in types if name not in header]
         if absent:
-            raise ValueError(f"{path} has no column {', '.join(absent)}; its header is {', '.join(header)}")
-        by_header.setdefault(header, []).append(path)
+            raise ValueError(f"{files[0]} has no column {', '.join(absent)}; its header is {', '.join(header)}")
+        by_header.setdefault(header, []).extend(files)
+    if not by_header:
+        empty = T.StructType([*types.values(), *([] if malformed in ("fail", "null") else [T.StructField(malformed, T.StringType())])])
+        return spark.createDataFrame([], empty)
     reader = spark.read.options(**options).option("header", True).option("enforceSchema", False)
     reader = reader.option("mode", "FAILFAST" if malformed == "fail" else "PERMISSIVE")
     record = [] if malformed in ("fail", "null") else [T.StructField(malformed, T.StringType())]
@@ -93,8 +154,8 @@ def read_json_records(
 ) -> DataFrame:
     """Read JSON objects and lift the fields of nested objects one level; lists stay lists.
 
-    A file holding one array must be parsed whole (``multi_line``); files with one object per line
-    are splittable and should be read with ``multi_line=False``.
+    A file holding one array is parsed whole by one task (``multi_line``), unless :func:`read_json_array` reads it; files with one
+    object per line are splittable and should be read with ``multi_line=False``.
     """
     reader = spark.read.option("multiLine", multi_line)
     if schema is not None:
@@ -103,6 +164,18 @@ def read_json_records(
     return flatten_structs(df) if flatten else df
 
 
+def read_json_array(
+    spark: SparkSession, path: str | list[str], schema: str | T.StructType, mode: str = "FAILFAST", flatten: bool = True
+) -> DataFrame:
+    """The objects of files that hold one JSON array each, however large, read by many tasks a file.
+
+    The same rows as :func:`read_json_records` with ``multi_line``; see :mod:`tallywork.sources.json_arrays`. A text that is no
+    object of ``schema`` fails the read, or gives a row of NULLs with ``mode="PERMISSIVE"``.
+    """
+    objects = array_records(spark, path).select(F.from_json("text", schema, {"mode": mode}).alias("o")).select("o.*")
+    return flatten_structs(objects) if flatten else objects
+
+
 def flatten_structs(df: DataFrame) -> DataFrame:
     """``a: {b, c}`` becomes ``a_b, a_c``."""
     out = []

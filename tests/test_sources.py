@@ -1,5 +1,6 @@
 import datetime
 import json
+import random
 
 import pytest
 
@@ -47,8 +48,35 @@ def test_files_of_different_headers(spark, tmp_path):
     folder.mkdir()
     write(folder / "1.csv", "a,b\n1,x\n")
     write(folder / "2.csv", "b,a\ny,2\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        S.read_table(spark, str(folder), "a int, b string").collect()
+    write(folder / "3.csv", "")
+    assert rows(S.read_table(spark, str(folder), "a int, b string")) == [(1, "x"), (2, "y")]  # each file by its own header
+    assert S.read_table(spark, write(tmp_path / "none.csv", ""), "a int, b string").count() == 0
+
+
+def test_many_files_cost_no_more_jobs(spark, tmp_path):
+    def jobs(folder, files):
+        folder.mkdir()
+        for i in range(files):
+            write(folder / f"trips [{i}] %20é.csv", f"a,b\n{i},x\n" if i % 3 else f'\ufeff"b, quoted",b,a\n0,y,{i}\n')
+        spark.sparkContext.setJobGroup(folder.name, "")
+        read = S.read_table(spark, str(folder), "a int, b string")
+        assert rows(read.selectExpr("count(*)", "count(DISTINCT a)", "min(b)", "max(b)")) == [(files, files, "x", "y")]
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(folder.name))
+    few, many = jobs(tmp_path / "few", 6), jobs(tmp_path / "many", 300)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert many <= few + 2  # listing of many files may be a job of its own
+
+
+def test_headers_of_split_files(spark, tmp_path):
+    big = write(tmp_path / "big.csv", "a,b\n" + "".join(f"{i},{'x' * 50}\n" for i in range(40_000)))
+    small = write(tmp_path / "small.csv", "b,a\ny,-1\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        found = S.headers_of_files(spark, [big, small])
+        assert [(line, [f.rsplit("/", 1)[1] for f in files]) for line, files in found] == [("a,b", ["big.csv"]), ("b,a", ["small.csv"])]
+        assert rows(S.read_many(spark, [big, small], "a int, b string").selectExpr("count(*)", "min(a)", "max(a)")) == [(40_001, -1, 39_999)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_malformed_cells(spark, tmp_path):
@@ -79,6 +107,46 @@ def test_json_records(spark, tmp_path):
     assert S.read_json_records(spark, path, flatten=False).columns == ["cores", "id", "links"]
 
 
+@pytest.mark.parametrize("split", ["128m", "20k", "900"])
+def test_json_arrays_in_parts(spark, tmp_path, split):
+    rng = random.Random(2)
+    texts = ["plain", "a}b{", 'q"}', "back\\", '\\"}{[', "}]", "é}語", "", None]
+    made, folder = [], tmp_path / "arrays"
+    folder.mkdir()
+    for file, (count, indent) in enumerate([(700, None), (300, 1), (0, None), (1, None), (40, 0)]):
+        some = [{"id": 1000 * file + i, "s": rng.choice([*texts, "x" * rng.randrange(900)]), "l": [{"k": [1, [{"z": "}"}]]}] * rng.randrange(3)}
+                for i in range(count)]
+        made += some
+        write(folder / f"{file}.json", "\n " * (file % 2) + json.dumps(some, indent=indent, ensure_ascii=bool(file % 2)) + "\n" * (file % 2))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        schema = "id int, s string, l array<struct<n: int>>"
+        got = S.read_json_array(spark, str(folder), schema).collect()
+        assert sorted((r["id"], r["s"], len(r["l"])) for r in got) == sorted(((r["id"], r["s"], len(r["l"])) for r in made))
+        assert sorted(got, key=str) == sorted(S.read_json_records(spark, str(folder), schema).collect(), key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_what_is_no_json_array(spark, tmp_path):
+    path = write(tmp_path / "cut.json", '[{"id": 1}, {"id": 2}, {"id": ')
+    with pytest.raises(Exception):
+        S.read_json_array(spark, path, "id int").collect()
+    assert rows(S.read_json_array(spark, path, "id int", mode="PERMISSIVE")) == [(None,), (1,), (2,)]
+    assert S.read_json_array(spark, write(tmp_path / "none.json", " [ ]\n"), "id int").count() == 0
+
+
+def test_one_array_is_read_by_many_tasks(spark, tmp_path):
+    path = write(tmp_path / "one.json", json.dumps([{"id": i, "t": "y" * 100} for i in range(40_000)]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400k")
+    try:
+        found = S.array_records(spark, path)
+        assert found.selectExpr("count(*)", "count(DISTINCT text)").first() == (40_000, 40_000)
+        assert len({f for f in found.inputFiles()}) >= 8
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_tables(spark, tmp_path):
     df = spark.createDataFrame([(1, day("2024-01-01")), (2, None)], "id int, Date date")
     S.load_table(df, "loaded")
