@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -107,22 +108,34 @@ def measure(pages: DataFrame) -> DataFrame:
     return split.select("page_id", *(c.cast("long").alias(name) for name, c in counts.items()))
 
 
+def rules_version(rules: Sequence[Rule] = RULES) -> str:
+    """A digest of the rules: their bits, names and conditions. Bits of one version mean nothing under another."""
+    return hashlib.sha256("\n".join(f"{r.bit} {r.name} {r.fails}" for r in sorted(rules, key=lambda r: r.bit)).encode()).hexdigest()[:16]
+
+
 def rule_ledger(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """(page_id, measurements, failure_bits): every rule evaluated once and written to the scratch area.
+    """(page_id, measurements, failure_bits, rules_version): every rule evaluated once and written to the scratch area.
 
-    Bit ``rule.bit`` is set where the page fails the rule. Policies and ablations read this table alone, so that
+    Bit ``rule.bit`` is set where the page fails the rule; ``rules_version`` says by which rules. Policies and ablations read this table alone, so that
     a change of policy never touches a text again. Repeated rows have repeated entries.
     """
     bits = [F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long") for rule in rules]
     together = bits[0]
     for bit in bits[1:]:
         together = together.bitwiseOR(bit)
-    return write_scratch(measure(pages).withColumn("failure_bits", together), "rule_ledger")
+    return write_scratch(measure(pages).withColumns({
+        "failure_bits": together, "rules_version": F.lit(rules_version(rules))}), "rule_ledger")
+
+
+def _bits_of(rules: Sequence[Rule]) -> Column:
+    """The failure bits; a row whose bits were set by other rules fails the query."""
+    return F.when(F.col("rules_version") == rules_version(rules), F.col("failure_bits")).otherwise(
+        F.raise_error(F.concat(F.lit("the ledger is of other rules: "), F.col("rules_version"))).cast("long"))
 
 
 def apply_policy(ledger: DataFrame, policy: Sequence[str], rules: Sequence[Rule] = RULES) -> DataFrame:
-    """``ledger`` with ``kept``: true where none of the policy's bits is set."""
-    return ledger.withColumn("kept", F.col("failure_bits").bitwiseAND(F.lit(policy_mask(policy, rules))) == 0)
+    """``ledger`` with ``kept``: true where none of the policy's bits is set. A ledger of other ``rules`` is an error."""
+    return ledger.withColumn("kept", _bits_of(rules).bitwiseAND(F.lit(policy_mask(policy, rules))) == 0)
 
 
 def ablations(ledger: DataFrame, policy: Sequence[str], rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -132,7 +145,7 @@ def ablations(ledger: DataFrame, policy: Sequence[str], rules: Sequence[Rule] =
     bit patterns first, at most two to the number of rules; the rest works on those.
     """
     mask = policy_mask(policy, rules)
-    patterns = ledger.groupBy(F.col("failure_bits").bitwiseAND(F.lit(mask)).alias("bits")).agg(
+    patterns = ledger.groupBy(_bits_of(rules).bitwiseAND(F.lit(mask)).alias("bits")).agg(
         F.count(F.lit(1)).alias("pages"))
 
     def total(condition: Column) -> Column:

@@ -318,6 +318,23 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("failure_bits").bitwiseAND(F.lit(base)) != 0).alias("base_failed"), "kept", "failure_bits")
 
 
+_ABLATIONS_SQL = _OP9_SQL.split("SELECT doc_id, CAST(n_words", 1)[0] + """, r AS (
+  SELECT unnest(range(8)) AS bit, unnest(['few_words', 'repeated_words', 'symbols', 'repeated_lines', 'short_words', 'long_words',
+                                          'capitals', 'exclamations']) AS rule
+)
+SELECT rule, count(*) FILTER (WHERE failure_bits & (1 << bit) <> 0) AS n_failed, count(*) FILTER (WHERE failure_bits = 1 << bit) AS n_failed_alone,
+       count(*) FILTER (WHERE failure_bits = 0) AS n_kept, count(*) FILTER (WHERE failure_bits & ~(1 << bit) = 0) AS n_kept_without
+FROM r, f GROUP BY rule
+"""
+
+
+@query("quality_rule_ablations", _ABLATIONS_SQL)
+def quality_rule_ablations(spark: SparkSession, folder: str) -> DataFrame:
+    """What each rule of the policy does to all documents, from the ledger's bit patterns."""
+    ledger = quality_rules.rule_ledger(as_pages(table(spark, folder, "documents")))
+    return quality_rules.ablations(ledger, quality_rules.POLICIES[2])
+
+
 _OP10_SQL = """
 WITH p AS (
   SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
@@ -340,6 +357,21 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archive(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+_RECORDS_SQL = _OP10_SQL.rsplit("SELECT page_id", 1)[0] + r"""
+SELECT page_id, CAST(CASE WHEN response_id IS NULL OR page_id IS NOT DISTINCT FROM response_id THEN payload_bytes ELSE 0 END AS BIGINT) AS body_bytes,
+       true AS sound FROM r
+"""
+
+
+@query("rebuilt_web_records", _RECORDS_SQL)
+def rebuilt_web_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Each record put together by the join of heads and payloads: what its body holds, and whether its length is what its head says."""
+    archive = scratch_path(spark, "archive")
+    warc.archive_pages(table(spark, folder, "pages"), archive)
+    lengths = warc.record_lengths(warc.read_archive(spark, archive))
+    return lengths.select("page_id", "body_bytes", (F.col("record_bytes") == F.col("head_says")).alias("sound"))
+
+
 _OP11_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _OP11_SQL = rf"""

@@ -11,6 +11,19 @@ CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def record_lengths(archive: DataFrame) -> DataFrame:
+    """(page_id, body_bytes, record_bytes, head_says, record_digest) of each record of :func:`read_archive`, put together by its join.
+
+    ``body_bytes`` counts the payload in the rebuilt record, none for a revisit. ``record_bytes`` counts the rebuilt record without the two line breaks at its end, ``head_says`` the bytes of its WARC
+    head and of the block whose length that head names: they are equal in a sound archive. ``record_digest`` is the record's SHA-256.
+    """
+    warc_head = F.octet_length(F.substring_index("head", CRLF + CRLF, 1)) + 4
+    return archive.select(
+        "page_id", (F.octet_length("record") - 4 - F.octet_length("head")).cast("long").alias("body_bytes"),
+        (F.octet_length("record") - 4).cast("long").alias("record_bytes"),
+        (warc_head + _header("Content-Length").cast("long")).alias("head_says"), F.sha2("record", 256).alias("record_digest"))
+
+
 def _record_id(page_id: Column, digest: Column) -> Column:
     """A URN made of page and payload, so that a reference can be written without looking it up."""
     h = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("")), digest))

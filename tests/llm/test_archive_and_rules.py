@@ -96,3 +96,25 @@ def test_policies_and_ablations(spark):
         assert table[rule.name]["n_failed"] == sum(b >> rule.bit & 1 for b in everything.values())
         assert table[rule.name]["n_kept_without"] == sum(b & rest == 0 for b in everything.values())
         assert table[rule.name]["n_kept"] == 1
+
+
+def test_bits_of_other_rules_are_refused(spark, edge_pages):
+    other = (*q.RULES[:-1], q.Rule(7, "exclamations", "100 * n_exclamations > 30 * n_words"))
+    ledger = q.rule_ledger(edge_pages)
+    assert q.apply_policy(ledger, q.POLICIES[2]).count() == edge_pages.count()
+    assert q.rules_version(other) != q.rules_version()
+    for judged in (q.apply_policy(ledger, ["few_words"], other), q.ablations(ledger, ["few_words"], other)):
+        with pytest.raises(Exception, match="other rules"):
+            judged.collect()
+
+
+def test_rebuilt_records_have_the_length_that_their_heads_name(spark, edge_pages, tmp_path):
+    folder = str(tmp_path / "archive")
+    warc.archive_pages(edge_pages, folder)
+    archive = warc.read_archive(spark, folder)
+    lengths = warc.record_lengths(archive).collect()
+    assert len(lengths) == edge_pages.count() and all(r["record_bytes"] == r["head_says"] for r in lengths)
+    whole = {r["page_id"]: r for r in archive.collect()}
+    for r in lengths:
+        record = whole[r["page_id"]]
+        assert r["body_bytes"] == (record["payload_bytes"] if record["record_type"] == "response" else 0)
