@@ -11,7 +11,7 @@ sys.path.insert(0, str(ROOT))
 from tallywork.catalog import QUERIES  # noqa: E402
 
 FUNCTIONS = {
-    "S1": "sources.tables.read_table", "S2": "sources.tables.read_many", "S3": "sources.tables.read_json_records",
+    "S1": "sources.tables.read_table", "S2": "sources.tables.read_many", "S3": "sources.tables.read_json_records, read_json_array",
     "S4": "sources.html_tables.extract_html_tables, html_cells", "S5": "sources.tables.load_table",
     "S6": "sources.tables.drop_table, create_table_as", "S7": "sources.tables.write_csv", "S8": "sources.tables.price_series",
     "P1": "operators.columns.select_columns", "P2": "operators.columns.drop_columns", "P3": "operators.columns.derive",
@@ -58,7 +58,7 @@ FUNCTIONS = {
     "R9": "plans.launches.launch_questions, launch_sql; sources.statements.ask",
     "D1": "plans.network.counts_per_period, busiest_periods", "D2": "plans.network.detection_by_period",
     "D3": "plans.network.shares_by", "D4": "plans.network.shares_by", "D5": "plans.network.attempts_by_transport",
-    "D6": "plans.network.packet_length_summary, packet_length_histogram", "D7": "plans.network.traffic_spikes", "D8": "plans.network.credential_stuffing",
+    "D6": "plans.network.packet_length_summary, packet_length_histogram", "D7": "plans.network.traffic_spikes, streaming.monitor.spikes", "D8": "plans.network.credential_stuffing",
     "D9": "plans.network.unusual_access", "D10": "plans.network.monthly_trend", "D11": "streaming.monitor",
     "D12": "plans.fitness.minutes_by_weekday_and_type", "D13": "plans.fitness.steps_by_weekday", "D14": "plans.fitness.top_hours",
 }
