@@ -130,6 +130,13 @@ def _(t: Tables):
                            S.json_field(F.col("props"), "$.absent").alias("absent"))
 
 
+@query("json_fields_of_one_parse", "H14", """
+    SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, props->>'$.k' AS k_text, props->>'$.absent' AS absent FROM events""")
+def _(t: Tables):
+    return S.with_json_fields(t.events.select("event_id", "props"), "props", {
+        "k": ("$.k", "long"), "k_text": ("$.k", "string"), "absent": ("$.absent", "string")}).drop("props")
+
+
 @query("safe_ratio", "H15", """
     SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey,
            round(l_tax / nullif(l_discount, 0), 6) AS ratio

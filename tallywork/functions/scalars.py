@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,6 +48,16 @@ def json_field(text: Column, path: str, dtype: str = "string") -> Column:
     return F.get_json_object(text, path).try_cast(dtype)
 
 
+def with_json_fields(df: DataFrame, text: str, fields: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Several fields of a JSON text, ``{column: (path, type)}``, from one parse of it.
+
+    As :func:`json_field`, NULL where the text or the value does not parse; a text that names a key twice does not.
+    """
+    parsed = df.withColumn("__json", F.try_parse_json(F.col(text)))
+    return parsed.withColumns({
+        name: F.try_variant_get("__json", path, dtype) for name, (path, dtype) in fields.items()}).drop("__json")
+
+
 def fill_constant(value: Column, constant) -> Column:
     return F.coalesce(value, F.lit(constant))
 

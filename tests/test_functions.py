@@ -74,3 +74,15 @@ def test_lists_json_nan_and_ratio(spark):
               S.list_length(F.col("l")), S.first_item(F.col("l")), S.json_field(F.col("j"), "$.k", "long"),
               S.nan_to_null(F.col("x")), S.ratio(F.lit(4.0), F.col("d")), S.fill_constant(F.col("d"), -1.0))
     assert got == [(2, 5, 69, None, 2.0, 2.0), (0, None, None, 1.5, None, 0.0), (None, None, None, None, None, -1.0)]
+
+
+def test_json_fields_of_one_parse(spark):
+    texts = ['{"k": 5, "t": "x", "l": [1, {"d": 2.5}]}', '{"k": "7"}', '{"k": "no"}', "{broken", "", None, '{"k": 1, "k": 2}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, j string")
+    fields = {"k": ("$.k", "long"), "t": ("$.t", "string"), "d": ("$.l[1].d", "double"), "e": ("$.e", "string")}
+    got = S.with_json_fields(df, "j", fields).drop("j")
+    none = (None,) * 4
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (0, 5, "x", 2.5, None), (1, 7, None, None, None), *[(i, *none) for i in range(2, 7)]]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
