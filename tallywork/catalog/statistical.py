@@ -25,6 +25,20 @@ def _(t: Tables):
     return rounded(S.correlation_matrix(gaps(t), _CORRELATED), 6)
 
 
+_DIMENSIONS = 64
+
+
+@query("embedding_correlations", "A22", f"""
+    WITH cells AS (SELECT vec_id, d, CASE WHEN (vec_id + d) % 7 <> 0 THEN embedding[d + 1] END AS v
+                   FROM embeddings, range({_DIMENSIONS}) AS r(d))
+    SELECT 'd' || a.d AS x, 'd' || b.d AS y, round(corr(a.v, b.v), 6) AS r
+    FROM cells a JOIN cells b USING (vec_id) GROUP BY a.d, b.d""")
+def _(t: Tables):
+    # a seventh of the cells is missing, in other rows for each column
+    cells = [F.when((F.col("vec_id") + d) % 7 != 0, F.col("embedding")[d]).alias(f"d{d}") for d in range(_DIMENSIONS)]
+    return rounded(S.wide_correlations(t.embeddings.select(*cells), [f"d{d}" for d in range(_DIMENSIONS)]), 6)
+
+
 @query("pair_correlation", "A23", f"""
     WITH {CARS} SELECT round(corr("Automobile_Sales", "Advertising_Expenditure"), 6) AS r FROM cars""")
 def _(t: Tables):

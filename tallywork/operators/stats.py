@@ -42,6 +42,57 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return row.select(F.inline(F.array(*cells)))
 
 
+def wide_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(x, y, r) as :func:`correlation_matrix`, for hundreds of columns.
+
+    Tasks multiply matrices of their rows, values and presence apart, so that each pair is over its own complete rows;
+    what is added up is a row per task and pair. Columns are standardised first by a pass of their means and deviations,
+    which keeps far-off means from eating the digits. A task holds 32 bytes for each pair of columns in either order.
+    NULL, NaN and infinite values are missing; r is missing where one side doesn't vary, or has no rows.
+    """
+    cols = list(cols)
+    finite = [F.when(F.abs(F.col(c).cast("double")) < math.inf, F.col(c).cast("double")).alias(f"c{i}")
+              for i, c in enumerate(cols)]
+    numbers = df.select(*finite)
+    moments = numbers.agg(*[F.avg(c).alias(f"m{c}") for c in numbers.columns],
+                          *[F.stddev_samp(c).alias(f"s{c}") for c in numbers.columns]).first()
+    centre = np.array([0.0 if m is None else m for m in moments[:len(cols)]])
+    spread = np.array([s or 0.0 for s in moments[len(cols):]])
+
+    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, s, q, p = np.zeros((4, len(centre), len(centre)))
+        for frame in frames:
+            values = frame.to_numpy(np.float64)
+            there = ~np.isnan(values)
+            # a column without spread is zero throughout
+            z = np.where(there & (spread > 0), (values - centre) / np.where(spread > 0, spread, 1.0), 0.0)
+            there = there.astype(np.float64)
+            n += there.T @ there
+            s += z.T @ there
+            q += (z * z).T @ there
+            p += z.T @ z
+        i, j = np.triu_indices(len(centre))
+        yield pd.DataFrame({"i": i, "j": j, "n": n[i, j], "sx": s[i, j], "sy": s[j, i],
+                            "xx": q[i, j], "yy": q[j, i], "xy": p[i, j]})
+
+    sums = numbers.mapInPandas(multiply, "i int, j int, n double, sx double, sy double, xx double, yy double, xy double")
+    pair = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "xx", "yy", "xy")])
+
+    def variation(squares: str, total: str) -> Column:
+        """n squared times the variance; what rounding leaves of none is none."""
+        full = F.col("n") * F.col(squares)
+        rest = full - F.col(total) * F.col(total)
+        return F.when(rest > full * 1e-12, rest)
+
+    r = (F.col("n") * F.col("xy") - F.col("sx") * F.col("sy")) / (
+        F.sqrt(variation("xx", "sx")) * F.sqrt(variation("yy", "sy")))
+    name = F.array(*[F.lit(c) for c in cols])
+    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(
+        F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return (pair.select(F.when(F.abs(r) > 1, F.signum(r)).otherwise(r).alias("r"), F.explode(both).alias("at"))
+            .select(F.get(name, "at.i").alias("x"), F.get(name, "at.j").alias("y"), "r"))
+
+
 def regression_line(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, slope, intercept, r2) of the least-squares line."""
     return df.groupBy(*keys).agg(

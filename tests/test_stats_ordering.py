@@ -9,6 +9,34 @@ from tallywork.operators import stats as S
 from tallywork.operators.numbering import renumber
 
 
+def test_wide_correlations(spark):
+    draw = np.random.default_rng(7)
+    values = draw.normal(size=(400, 40)) * 10.0 ** draw.integers(-3, 4, 40) + 1e6 * draw.normal(size=40)
+    values[:, 1] = values[:, 0] * -2                                    # the very opposite
+    values[draw.random(values.shape) < 0.2] = np.nan
+    values[:, 2] = 5.0                                                  # no spread
+    values[:, 3] = np.nan                                               # no values
+    values[0, 4] = np.inf
+    names = [f"col.{i}" if i == 5 else f"c{i}" for i in range(40)]
+    df = spark.createDataFrame([tuple(float(v) for v in row) for row in values], names).repartition(7)
+    df = df.withColumnRenamed("col.5", "c5").withColumn("extra", F.lit("x"))
+    names[5] = "c5"
+    got = {(x, y): r for x, y, r in S.wide_correlations(df, names).collect()}
+    assert len(got) == 1600
+    values[0, 4] = np.nan
+    for i, x in enumerate(names):
+        for j, y in enumerate(names):
+            both = ~np.isnan(values[:, i]) & ~np.isnan(values[:, j])
+            a, b = values[both, i], values[both, j]
+            if {i, j} & {2, 3}:
+                assert got[x, y] is None
+            else:
+                assert abs(got[x, y] - np.corrcoef(a, b)[0, 1]) < 1e-9, (x, y)
+    assert S.wide_correlations(df.limit(0), ["c0", "c1"]).filter("r is not null").count() == 0
+    single = spark.createDataFrame([(1.0, 2.0), (2.0, None)], "a double, b double")
+    assert {(x, y): r for x, y, r in S.wide_correlations(single, ["a", "b"]).collect()}["a", "b"] is None
+
+
 def test_correlations_skip_incomplete_pairs(spark):
     data = [(1.0, 2.0, None), (2.0, 4.1, 3.0), (3.0, 5.9, 1.0), (4.0, 8.2, 2.0), (None, 1.0, 9.0)]
     df = spark.createDataFrame(data, "a double, b double, c double")
