@@ -16,6 +16,7 @@ from tallywork.plans import fitness, launches as launch_plans
 from tallywork.plans import rides as ride_plans
 from tallywork.session import scratch_path
 from tallywork.sources.tables import read_json_records, read_table
+from tallywork.streaming.kept_sums import stored_sums
 
 # --- car sales -------------------------------------------------------------------------------
 
@@ -92,14 +93,14 @@ _RIDE_SQL = {
 _report("rides", "R5", _RIDE_SQL, lambda t: ride_plans.ride_usage_report(ride_plans.clean_rides(rides(t)), staged=False))
 
 
-@query("rides_whole_report", "R5", f"""
+_WHOLE_RIDES = f"""
     WITH {CLEAN_RIDES} SELECT 'rider' AS part, member_casual AS k, round(avg(ride_length), 2) AS v FROM clean GROUP BY ALL
     UNION ALL SELECT 'month', member_casual || month_name, round(avg(ride_length), 2) FROM clean GROUP BY ALL
     UNION ALL SELECT 'bike', member_casual || rideable_type, count(*)::DOUBLE FROM clean GROUP BY ALL
-    UNION ALL SELECT 'weekday', member_casual || weekday, round(avg(ride_length), 2) FROM clean GROUP BY ALL""")
-def _(t: Tables):
-    # several tables of one staged report: the rides are read once
-    report = ride_plans.ride_usage_report(ride_plans.clean_rides(rides(t)))
+    UNION ALL SELECT 'weekday', member_casual || weekday, round(avg(ride_length), 2) FROM clean GROUP BY ALL"""
+
+
+def _whole_rides(report):
     rider = F.col("member_casual")
     parts = [("rider", "length_by_rider", rider, "ride_length"),
              ("month", "length_by_month", F.concat(rider, "month_name"), "ride_length"),
@@ -110,6 +111,23 @@ def _(t: Tables):
         for part, table, k, v in parts])
 
 
+@query("rides_whole_report", "R5", _WHOLE_RIDES)
+def _(t: Tables):
+    # several tables of one staged report: the rides are read once
+    return _whole_rides(ride_plans.ride_usage_report(ride_plans.clean_rides(rides(t))))
+
+
+@query("rides_report_kept_up", "R5 S2", _WHOLE_RIDES)
+def _(t: Tables):
+    # rides arrive as files; each batch of them adds its sums, and the report reads the sums alone
+    arrivals, kept, checkpoint = (scratch_path(t.spark, f"rides-{label}") for label in ("in", "sums", "checkpoint"))
+    given = rides(t)
+    given.write.parquet(arrivals)
+    stream = t.spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 16).parquet(arrivals)
+    ride_plans.keep_ride_sums(ride_plans.clean_rides(stream), kept, checkpoint).awaitTermination()
+    return _whole_rides(ride_plans.report_of_sums(stored_sums(t.spark, kept, ride_plans.SUM_KEYS)))
+
+
 @query("rides_labelled_months", "R5 P16", f"""
     WITH {CLEAN_RIDES}, labels AS (
         SELECT unnest(range(1, 13)) AS month, unnest([{", ".join(f"'{v}'" for v in ride_plans.MONTH_LABELS.values())}]) AS label)

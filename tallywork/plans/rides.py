@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tallywork.functions.dates import WEEKDAYS_FROM_SUNDAY, calendar_columns, whole_minutes
 from tallywork.operators.aggregates import (
@@ -14,6 +15,7 @@ from tallywork.operators.filters import drop_incomplete_rows, filter_compare
 from tallywork.operators.joins import complete_categories
 from tallywork.operators.ordering import sort_by_levels
 from tallywork.session import write_scratch
+from tallywork.streaming.kept_sums import keep_sums
 
 # fixed values: labels of rider types, bike types, weekdays and months
 RIDER_LABELS = {"member": "會員", "casual": "臨時使用者"}
@@ -27,6 +29,9 @@ MONTH_LABELS = {
     7: "七月", 8: "八月", 9: "九月", 10: "十月", 11: "十一月", 12: "十二月",
 }
 
+#: what the report's finest grouping is keyed by
+SUM_KEYS = ["member_casual", "month", "month_name", "weekday", "rideable_type"]
+
 
 def clean_rides(rides: DataFrame) -> DataFrame:
     """Complete rides of at least a minute, with their length in whole minutes and calendar fields."""
@@ -46,17 +51,33 @@ def mean_length_by_weekday(rides: DataFrame, rider: str = "member_casual") -> Da
     return _in_weekday_order(group_mean(rides, [rider, "weekday"], "ride_length"), rider)
 
 
+def ride_sums(rides: DataFrame) -> DataFrame:
+    """Lengths and rides by rider type, bike type, weekday and month: all that the report's tables need."""
+    return partial_sums(rides, SUM_KEYS, ["ride_length"], ["ride_id"])
+
+
 def ride_usage_report(rides: DataFrame, staged: bool = True) -> dict[str, DataFrame]:
     """The tables behind the charts, from rides prepared by :func:`clean_rides`.
 
     All come from one grouping by rider type, bike type, weekday and month. ``staged`` writes it,
     so that asking for every table reads the rides once; unstaged, each table runs on its own.
     """
+    partial = ride_sums(rides)
+    return report_of_sums(write_scratch(partial, "ride-sums") if staged else partial)
+
+
+def keep_ride_sums(rides: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Add the rides that have arrived, a stream prepared by :func:`clean_rides`, to the sums kept in ``folder``.
+
+    ``report_of_sums(stored_sums(spark, folder, SUM_KEYS))`` is then the report on all rides so far.
+    """
+    return keep_sums(rides, ride_sums, folder, checkpoint)
+
+
+def report_of_sums(partial: DataFrame) -> dict[str, DataFrame]:
+    """The report's tables from :func:`ride_sums`."""
     rider = "member_casual"
     months = [rider, "month", "month_name"]
-    partial = partial_sums(rides, [*months, "weekday", "rideable_type"], ["ride_length"], ["ride_id"])
-    if staged:
-        partial = write_scratch(partial, "ride-sums")
     by_rider = mean_of_sums(partial, rider, "ride_length")
     return {
         "rider_share": shares_of_counts(count_of_sums(partial, rider, "ride_length", "count"), rider),

@@ -47,6 +47,35 @@ def test_ride_report(spark, staged):
     assert cross == {"member": (15.0, None), "casual": (None, 1.0), "guest": (None, 5.0)}
 
 
+def test_ride_report_kept_up(spark, tmp_path):
+    from tallywork.streaming.kept_sums import store_arrival, stored_sums
+
+    folder, arrivals, checkpoint = (str(tmp_path / name) for name in ("sums", "in", "checkpoint"))
+    given = spark.createDataFrame(RIDES, schemas.RIDES)
+
+    def arrive(*ids):
+        given.filter(F.col("ride_id").isin(*ids)).coalesce(1).write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
+        rides.keep_ride_sums(rides.clean_rides(stream), folder, checkpoint).awaitTermination()
+
+    def same(expected):
+        kept = rides.report_of_sums(stored_sums(spark, folder, rides.SUM_KEYS))
+        whole = rides.ride_usage_report(rides.clean_rides(expected))
+        assert {name: rows(table) for name, table in kept.items()} == {name: rows(table) for name, table in whole.items()}
+
+    arrive("r1", "r3")
+    same(given.filter(F.col("ride_id").isin("r1", "r3")))
+    arrive("r2", "r4", "r6")
+    arrive("r5", "r7")
+    same(given)
+    # the last batch once more under its number, as after a failure between the write and the commit
+    last = rides.clean_rides(given.filter(F.col("ride_id").isin("r5", "r7")))
+    store_arrival(rides.ride_sums(last), folder, 2)
+    same(given)
+    store_arrival(rides.ride_sums(last.limit(0)), folder, 3)
+    same(given)
+
+
 # --- cars ------------------------------------------------------------------------------------
 
 def car(year, month, rec, kind, sales, price=10.0, gdp=1.0, ads=100.0, unemployment=5.0):

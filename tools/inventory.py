@@ -33,7 +33,7 @@ FUNCTIONS = {
     "A15": "operators.profiles.n_distinct", "A16": "operators.profiles.duplicate_count", "A17": "operators.profiles.null_counts",
     "A18": "operators.profiles.null_percent", "A19": "operators.profiles.describe, operators.quantiles.quantiles",
     "A20": "operators.aggregates.success_rate", "A21": "operators.aggregates.pivot_mean",
-    "A22": "operators.stats.correlation_matrix", "A23": "operators.stats.pair_correlation", "A24": "operators.stats.box_summary",
+    "A22": "operators.stats.correlation_matrix, wide_correlations", "A23": "operators.stats.pair_correlation", "A24": "operators.stats.box_summary",
     "A25": "operators.stats.outliers", "A26": "operators.stats.regression_line", "A27": "operators.stats.mean_with_ci",
     "A28": "operators.aggregates.distinct_values", "A29": "operators.profiles.table_profile",
     "W1": "operators.ordering.rank_by_count", "W2": "operators.ordering.values_at_ranks",
@@ -47,13 +47,13 @@ FUNCTIONS = {
     "H8": "functions.dates.elapsed_minutes, whole_minutes", "H9": "functions.scalars.text_slice",
     "H10": "functions.scalars.flag_and_text", "H11": "functions.scalars.list_length, first_item",
     "H12": "Spark field access; sources.tables.flatten_structs", "H13": "functions.scalars.fill_constant, operators.ml.impute_mean",
-    "H14": "functions.scalars.json_field", "H15": "operators.columns.derive, functions.scalars.ratio",
+    "H14": "functions.scalars.json_field, with_json_fields", "H15": "operators.columns.derive, functions.scalars.ratio",
     "M1": "operators.ml.impute_mean", "M2": "operators.ml.standardize", "M3": "operators.ml.polynomial_features",
     "M4": "operators.ml.train_test_split", "M5": "operators.ml.linear_fit", "M6": "operators.ml.ridge_fit",
     "M7": "operators.ml.r2_score", "M8": "operators.ml.regression_pipeline", "M9": "operators.ml.random_forest_fit",
     "M10": "operators.ml.classification_report", "M11": "operators.ml.feature_importance",
     "R1": "plans.cars.recession_report", "R2": "plans.cars.yearly_report", "R3": "plans.cars.run_report",
-    "R4": "plans.cars.recession_comparison", "R5": "plans.rides.ride_usage_report", "R6": "plans.fitness.activity_cleaning, export_cleaned",
+    "R4": "plans.cars.recession_comparison", "R5": "plans.rides.ride_usage_report, keep_ride_sums, report_of_sums", "R6": "plans.fitness.activity_cleaning, export_cleaned",
     "R7": "plans.launches.collect_launches", "R8": "plans.launches.launch_labelling",
     "R9": "plans.launches.launch_questions, launch_sql; sources.statements.ask",
     "D1": "plans.network.counts_per_period, busiest_periods", "D2": "plans.network.detection_by_period",
