@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywork.catalog.inputs import GAPS, gaps
+from tallywork.catalog.inputs import GAPS, RIDES, gaps, rides
 from tallywork.catalog.registry import Tables, longs, query, rounded
 from tallywork.operators import profiles as Q
 
@@ -20,6 +20,15 @@ def _(t: Tables):
     return Q.distinct_counts(gaps(t)).withColumnRenamed("distinct", "n")
 
 
+_RIDE_COLUMNS = ["ride_id", "rideable_type", "started_at", "ended_at", "member_casual"]
+
+
+@query("ride_distinct_counts", "A14", f"WITH {RIDES} {_per_column('count(DISTINCT {c})', 'n', _RIDE_COLUMNS, 'rides')}")
+def _(t: Tables):
+    # the rides come from a join, which is run once for all columns
+    return Q.distinct_counts(rides(t), one_scan=True).withColumnRenamed("distinct", "n")
+
+
 @query("distinct_with_missing", "A15", f"""
     WITH {GAPS} SELECT count(DISTINCT l_discount) + max(CASE WHEN l_discount IS NULL THEN 1 ELSE 0 END) AS n_distinct
     FROM gaps""")

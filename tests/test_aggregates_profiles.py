@@ -99,6 +99,35 @@ def test_profiles(spark):
     assert rows(Q.null_counts(df.filter("false"))) == [("i", 0), ("s", 0), ("x", 0)]
 
 
+def test_distinct_counts_of_all_types_from_one_scan(spark, tmp_path):
+    df = spark.range(3000).select(
+        (F.col("id") % 1000 - 500).alias("dense"), (F.col("id") % 700 * 9_000_000_007_000_000).alias("scattered"),
+        F.when(F.col("id") % 3 > 0, F.col("id") % 90).cast("byte").alias("small"), (F.col("id") % 2 == 0).alias("flag"),
+        F.date_add(F.lit("1969-12-01").cast("date"), (F.col("id") % 77).cast("int")).alias("day"),
+        F.timestamp_micros(F.col("id") % 130 - 65).alias("at"),
+        (F.col("id") % 8).cast("decimal(9,2)").alias("money"),
+        F.when(F.col("id") == 0, float("nan")).when(F.col("id") == 1, -0.0).when(F.col("id") == 2, 0.0).otherwise(
+            F.col("id") % 5 + 0.5).alias("x"),
+        F.when(F.col("id") % 4 > 0, F.concat(F.lit("a b"), F.col("id") % 33)).otherwise("").alias("text"),
+        F.to_binary(F.lit("ff00"), F.lit("hex")).alias("bytes"), F.lit(None).cast("string").alias("nothing"),
+        F.array(F.col("id") % 6).alias("list"), F.col("id").alias("run"))
+    df.write.parquet(f"{tmp_path}/all")
+    stored = spark.read.parquet(f"{tmp_path}/all")
+    got = Q.distinct_counts(stored, one_scan=True)
+    assert rows(got) == rows(Q.distinct_counts(stored))
+    assert dict(rows(got))["dense"] == 1000 and dict(rows(got))["x"] == 7 and dict(rows(got))["nothing"] == 0
+    assert rows(Q.distinct_counts(df.filter("false"), one_scan=True)) == sorted((c, 0) for c in df.columns)
+    plan = Q.distinct_counts(stored.drop("list"), one_scan=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning(no") == 2
+    assert "ObjectHashAggregate" in plan and "BatchEvalPython" not in plan
+
+
+def test_distinct_counts_keep_the_ends_of_whole_numbers(spark):
+    ends = [-2**63, 2**63 - 1, -1, 0, 63, 64, -64, -65]
+    df = spark.createDataFrame([(i,) for i in ends + ends], "i long")
+    assert rows(Q.distinct_counts(df, one_scan=True)) == [("i", 8)]
+
+
 def test_describe_matches_pandas(spark):
     import pandas as pd
 
