@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywork.session import write_scratch
 
 _SALT = "__salt"
+_APART = "_apart"
 
 
 def join_on(
@@ -79,6 +80,51 @@ def merge_all(frames: Sequence[DataFrame], keys: Sequence[str], **options) -> Da
     return reduce(lambda a, b: merge_inner(a, b, keys, **options), frames)
 
 
+def store_for_merges(
+    frames: dict[str, DataFrame], keys: Sequence[str], buckets: int, hot_share: float = 0.001, folder: str | None = None
+) -> None:
+    """Store tables once, dealt by ``keys``, so that :func:`merge_stored` merges them without moving their rows.
+
+    Each name becomes a table in ``buckets`` buckets of its keys, one sorted file a bucket, and a table ``<name>_apart`` of
+    the rows that buckets don't serve: those with a missing key, and those of keys that hold more than ``hot_share`` of the
+    rows of any of the tables, which would make one bucket long. Tables that are to be merged are stored together, as they
+    must agree on what lies apart. Choose ``buckets`` so that a bucket of the largest table fits a task's memory. Older
+    tables of these names are replaced. ``folder`` holds the files instead of the warehouse.
+    """
+    keys = list(keys)
+    # each table is computed once: the counts and both parts read what is written here
+    written = {name: write_scratch(df, "merge-table") for name, df in frames.items()}
+    # at most 1/hot_share keys a table
+    hot = reduce(DataFrame.unionByName, [hot_keys(df.na.drop(subset=keys), keys, hot_share) for df in written.values()])
+    hot = write_scratch(hot.distinct(), "hot-keys")
+    for name, df in written.items():
+        whole = df.na.drop(subset=keys)
+        missing = df.filter(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys]))
+        marked = F.broadcast(hot)
+        apart = missing.unionByName(whole.join(marked, keys, "left_semi"))
+        dealt = whole.join(marked, keys, "left_anti").repartition(buckets, *keys)
+        for table, rows, bucketed in ((name, dealt, True), (name + _APART, apart, False)):
+            writer = rows.write.mode("overwrite").format("parquet")
+            if bucketed:
+                writer = writer.bucketBy(buckets, *keys).sortBy(*keys)
+            if folder is not None:
+                writer = writer.option("path", f"{folder.rstrip('/')}/{table}")
+            writer.saveAsTable(table)
+
+
+def merge_stored(
+    spark: SparkSession, names: Sequence[str], keys: Sequence[str], na_matches: bool = True, hot_share: float = 0.01, salts: int = 64
+) -> DataFrame:
+    """Inner merge of tables of :func:`store_for_merges`: the rows of :func:`merge_all` on the tables as they were.
+
+    Buckets meet in place, without an exchange. The rows apart, of missing and of hot keys, are merged beside them, with salts
+    for keys that hold more than ``hot_share`` of those.
+    """
+    dealt = merge_all([spark.table(name) for name in names], keys, na_matches=False)
+    apart = [spark.table(name + _APART) for name in names]
+    return dealt.unionByName(merge_all(apart, keys, na_matches=na_matches, hot_share=hot_share, salts=salts))
+
+
 def enrich(
     facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, columns: dict[str, str]
 ) -> DataFrame:

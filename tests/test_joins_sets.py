@@ -34,6 +34,45 @@ def test_spreading_a_hot_key_changes_no_row(spark):
     assert rows(J.hot_keys(left, ["k"], 0.2)) == [(1,)]
 
 
+def _three(spark):
+    """A key with a third of the rows, missing keys and rows of one key part missing, repeated rows, lonely keys."""
+    ids = spark.range(300)
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 100 == 1, F.lit(None)).otherwise(F.col("id") % 80).alias("k")
+    part = F.when(F.col("id") % 50 == 2, F.lit(None)).otherwise(F.concat(F.lit("p"), F.col("id") % 3)).alias("h")
+    return {
+        "stored_a": ids.select(key, part, F.col("id").alias("v"), F.lit("a").alias("a")),
+        "stored_b": ids.filter("id % 30 < 4").select(key, part, (F.col("id") + 1).alias("v"), F.lit(1).alias("b")),
+        "stored_c": ids.filter("id < 12 or id > 290").select(part, key, F.lit(2.5).alias("c"))}
+
+
+def test_stored_tables_merge_as_the_tables_do(spark, tmp_path):
+    keys = ["k", "h"]
+    frames = _three(spark)
+    J.store_for_merges(frames, keys, 5, hot_share=0.1, folder=f"{tmp_path}/t")
+    for na_matches in (True, False):
+        want = rows(J.merge_all(list(frames.values()), keys, na_matches=na_matches))
+        merged = J.merge_stored(spark, list(frames), keys, na_matches)
+        assert merged.columns == ["k", "h", "v_x", "a", "v_y", "b", "c"] and rows(merged) == want
+    assert len(want) > 1000
+    assert sum(spark.table(n + s).count() for n in frames for s in ("", "_apart")) == sum(f.count() for f in frames.values())
+    assert spark.table("stored_a").filter("k = 7 and h = 'p0' or k is null or h is null").count() == 0
+    J.store_for_merges({n: f.filter("false") for n, f in frames.items()}, keys, 5, folder=f"{tmp_path}/empty")
+    assert rows(J.merge_stored(spark, list(frames), keys)) == []
+
+
+def test_buckets_meet_without_an_exchange(spark, tmp_path):
+    frames = _three(spark)
+    J.store_for_merges(frames, ["k", "h"], 5, hot_share=0.1, folder=f"{tmp_path}/t")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = J.merge_all([spark.table(n) for n in frames], ["k", "h"], na_matches=False)
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+        assert dealt.rdd.getNumPartitions() == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_enrich_keeps_every_fact(spark):
     facts = spark.createDataFrame([(1, "r1"), (2, "r9"), (3, None)], "flight int, rocket string")
     dim = spark.createDataFrame([("r1", "Falcon 9", 0)], "id string, name string, extra int")

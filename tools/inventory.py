@@ -22,7 +22,7 @@ FUNCTIONS = {
     "P13": "operators.filters.filter_array_size", "P14": "operators.columns.label_membership",
     "P15": "operators.columns.cast_columns", "P16": "operators.columns.recode", "P17": "operators.numbering.renumber",
     "P18": "operators.columns.rename_columns",
-    "J1": "operators.joins.merge_inner", "J2": "operators.joins.merge_all", "J3": "operators.joins.enrich",
+    "J1": "operators.joins.merge_inner", "J2": "operators.joins.merge_all, store_for_merges, merge_stored", "J3": "operators.joins.enrich",
     "J4": "operators.joins.complete_categories", "J5": "operators.joins.rows_at_extreme",
     "A1": "operators.aggregates.group_mean", "A2": "operators.aggregates.group_mean", "A3": "operators.aggregates.group_count",
     "A4": "operators.aggregates.group_sum", "A5": "operators.aggregates.total_where", "A6": "operators.aggregates.mean_where",
