@@ -14,7 +14,8 @@ FOLDER = "/root/testdata/sf0.001"
 # one of each kind of plan: joins, completion, shares, distinct, quantiles, numbering, scores, windows in time
 SAMPLE = ["mean_ride_length", "merge_three_tables", "merge_with_hot_key", "value_shares", "distinct_counts", "describe_columns",
           "group_quantiles", "box_summary", "renumber_rows", "rank_by_count", "collect_launches", "traffic_spikes",
-          "credential_stuffing", "classification_report", "launch_labels_labelled", "activity_hourly"]
+          "credential_stuffing", "classification_report", "launch_labels_labelled", "activity_hourly", "merge_stored_tables",
+          "ride_distinct_counts"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
